@@ -6,8 +6,9 @@ so a text's tokens are those of its words. ``WordCounts`` and ``WordIds`` keep w
 
 from __future__ import annotations
 
+import json
 import os
-import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,8 +20,8 @@ from .common import text_of, words_of
 
 #: Most frequent words in the broadcast table, words that the sketch tracks, longest word in it.
 TOP_WORDS, TRACKED, LONGEST = 50_000, 200_000, 40
-#: Words that a worker's cache holds at most; it starts anew when full.
-CACHE_WORDS = 600_000
+#: Words in one of the two generations of a worker's cache.
+CACHE_WORDS = 400_000
 LIMIT = 2048
 
 
@@ -37,20 +38,38 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class WordCounts(dict):
-    """Tokens of a word, given as bytes; misses are encoded and kept."""
+class WordCache(dict):
+    """What words, given as bytes, are encoded as. Two generations: when the young one is full, it becomes
+    the old one, from which words that are met again move back, so frequent words stay."""
 
-    def __init__(self, tokenizer, known: dict[bytes, int]):
-        super().__init__(known)
-        self.tokenizer, self.known = tokenizer, known
+    def __init__(self, known: dict | None = None):
+        super().__init__(known or {})
+        self.known, self.old = known or {}, {}
 
-    def __missing__(self, word: bytes) -> int:
-        n = len(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False))
+    def encode(self, word: bytes):
+        raise NotImplementedError
+
+    def __missing__(self, word: bytes):
+        value = self.old.get(word)
+        if value is None:
+            value = self.encode(word)
         if len(self) >= CACHE_WORDS + len(self.known):
+            self.old = dict(self)
             self.clear()
             self.update(self.known)
-        self[word] = n
-        return n
+        self[word] = value
+        return value
+
+
+class WordCounts(WordCache):
+    """Tokens of a word."""
+
+    def __init__(self, tokenizer, known: dict[bytes, int]):
+        super().__init__(known)
+        self.tokenizer = tokenizer
+
+    def encode(self, word: bytes) -> int:
+        return len(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False))
 
 
 _workers: dict[tuple, object] = {}
@@ -107,26 +126,58 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # --- ids of the byte-level vocabulary --------------------------------------------------------------
 
 #: Runs of ASCII white space other than single blanks and line ends, which bind their neighbours.
-_BOUND = re.compile(rb"  |\n\n| \n|\n |[\t\r\x0b\x0c]|\A[ \n]|[ \n]\Z")
+_BOUND = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
+
 
+#: How the byte-level pre-tokenizer cuts text.
+_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-class WordIds(dict):
-    """Ids of a word after a fixed prefix as little-endian 32-bit bytes; misses are encoded and kept."""
 
-    def __init__(self, tokenizer, prefix: str):
+def rank_encoder(path: str):
+    """The vocabulary as ranks for a faster encoder, or None where ranks don't give the same ids.
+
+    They do if there is no normalizer, texts are cut by the usual pattern, and the n-th merge makes the
+    token with the n-th id after the single bytes: the lowest rank is then the first merge.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not spec["normalizer"]
+    if not plain or model["type"] != "BPE" or model.get("ignore_merges") or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
+        return None
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(rest)}
+    added = {t["content"] for t in spec["added_tokens"]}
+    vocab = {t: i for t, i in model["vocab"].items() if t not in added}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    if sorted(vocab[c] for c in byte_of) != list(range(256)) or [vocab["".join(m)] for m in merges] != list(range(256, 256 + len(merges))):
+        return None
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items()}
+    return tiktoken.Encoding("words", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}), [t.encode() for t in added]
+
+
+class WordIds(WordCache):
+    """Ids of a word after a fixed prefix, as little-endian 32-bit bytes."""
+
+    def __init__(self, tokenizer, prefix: str, ranks):
         super().__init__()
         self.tokenizer, self.prefix = tokenizer, prefix
+        self.fast, self.special = ranks or (None, [])
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = encode(self.tokenizer, self.prefix + word.decode("utf-8", "replace"))
-        if len(self) >= CACHE_WORDS // 2:
-            self.clear()
-        self[word] = ids
-        return ids
+    def encode(self, word: bytes) -> bytes:
+        text = self.prefix + word.decode("utf-8", "replace")
+        if self.fast is None or any(t in word for t in self.special):
+            return encode(self.tokenizer, text)
+        ids = self.fast.encode_ordinary(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def encode(tokenizer, text: str) -> bytes:
-    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    ids = tokenizer.encode(text, add_special_tokens=False).ids
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class ByteEncoder:
@@ -134,13 +185,14 @@ class ByteEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
-        self.first, self.next = WordIds(self.tokenizer, ""), WordIds(self.tokenizer, " ")
+        ranks = rank_encoder(path)
+        self.first, self.next = WordIds(self.tokenizer, "", ranks), WordIds(self.tokenizer, " ", ranks)
         self.line_end = encode(self.tokenizer, "\n")
 
     def __call__(self, text: bytes) -> bytes:
         if not text:
             return b""
-        if _BOUND.search(text):
+        if text[0] in b" \n" or text[-1] in b" \n" or any(map(text.__contains__, _BOUND)):
             return encode(self.tokenizer, text.decode("utf-8", "replace"))
         first, after, lines = self.first.__getitem__, self.next.__getitem__, []
         for line in text.split(b"\n"):

@@ -86,3 +86,15 @@ def test_caches_start_anew_when_full(monkeypatch):
     assert encoder(text.encode()) == tokens.encode(encoder.tokenizer, text)
     counter = tokens.WordCounts(tokens.load_tokenizer(tokens.vocabulary_path("word_bpe_49k.json")), {b"word1": 2})
     assert sum(map(counter.__getitem__, text.encode().split())) == len(counter.tokenizer.encode(text, add_special_tokens=False))
+
+
+def test_ranks_give_the_ids_of_the_tokenizer(spark):
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    fast, special = tokens.rank_encoder(path)
+    assert special == [b"<|endoftext|>"]
+    tokenizer = tokens.load_tokenizer(path)
+    words = {w for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(300).collect() for w in r.text.split()}
+    words |= {"it's", "we'LL", "12a3", " x　", "é", "'s's", "\U0001f600\U0001f600", "a​b", "ſ's"}
+    for w in sorted(words):
+        assert fast.encode_ordinary(" " + w) == tokenizer.encode(" " + w, add_special_tokens=False).ids
+    assert tokens.rank_encoder(tokens.vocabulary_path("word_bpe_49k.json")) is None
