@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, mixing, packing, quality, repeats, simhash, tokens
+from . import hnsw, htmltext, mixing, packing, quality, repeats, simhash, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_hnsw": op1_hnsw,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
