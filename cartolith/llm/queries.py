@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hnsw, htmltext, mixing, packing, quality, repeats, simhash, tokens
+from . import hnsw, htmltext, mixing, packing, pii, quality, repeats, simhash, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     base = quality.apply_policy(rows, "base").withColumnRenamed("kept", "base_kept")
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
+    "op5_surrogates": op5_surrogates,
     "op7_quality": op7_quality,
     "op8_tokens": op8_tokens,
     "op9_repeats": op9_repeats,

@@ -7,12 +7,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm import mixing, quality, simhash
+from cartolith.llm import mixing, packing, pii, quality, simhash
 from cartolith.llm.common import Scratch, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the policy keeps. One scan: the ledger is computed beside the row it judges."""
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), F.col("text"))
+    judged = quality.apply_policy(quality.ledger(rows, "_row", "text"), "v1")
+    return judged.where("kept").select("_row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.one_of_each(docs)
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates in their texts."""
+    return pii.replaced(docs).drop("_entities")
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated or left out, so that sources have their target weights."""
+    return mixing.mixed(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in training sequences, with their token ids."""
+    return packing.pack(docs, with_ids=True)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("private_data", private_data),
+    ("source_mix", source_mix),
+    ("packed", packed),
+]
 
 #: Near-duplicates, surrogates and packing aren't SQL; each stage is tested against a brute-force version.
 ORACLE_SQL = None
