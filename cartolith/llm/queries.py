@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hnsw, htmltext, mixing, packing, pii, quality, repeats, simhash, tokens
+from . import hnsw, htmltext, lm, mixing, packing, pii, quality, repeats, simhash, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.surrogates(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     base = quality.apply_policy(rows, "base").withColumnRenamed("kept", "base_kept")
@@ -59,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op4_mixing": op4_mixing,
     "op5_surrogates": op5_surrogates,
+    "op6_mixing_model": op6_mixing_model,
     "op7_quality": op7_quality,
     "op8_tokens": op8_tokens,
     "op9_repeats": op9_repeats,
