@@ -22,10 +22,12 @@ from .tokens import ByteEncoder, _per_worker, vocabulary_path
 
 WINDOW, END = 2048, 1
 #: A shard is closed when it holds so many documents or tokens.
-SHARD_DOCS, SHARD_TOKENS = 4096, 8_000_000
+SHARD_DOCS, SHARD_TOKENS = 2048, 2_500_000
 #: A seed is searched by its terms of highest weight.
 QUERY_TERMS, NEIGHBOURS = 12, 48
 K1, B = 1.2, 0.75
+#: Pieces of an output batch.
+ROWS = 1024
 
 
 class Index:
@@ -180,8 +182,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             yield from take()
 
         def take() -> Iterator[pa.RecordBatch]:
-            if packer.rows:
-                columns = list(zip(*packer.rows, strict=True))
+            rows, packer.rows = packer.rows, []
+            for at in range(0, len(rows), ROWS):
+                columns = list(zip(*rows[at : at + ROWS], strict=True))
                 arrays = [pa.array(columns[0], id_type)] + [pa.array(c, t) for c, (_, t) in zip(columns[1:7], _FIELDS, strict=True)]
                 names = ["id", *[n for n, _ in _FIELDS]]
                 if with_ids:
@@ -189,7 +192,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                     bounds = np.cumsum([0, *columns[2]]).astype(np.int32)
                     arrays.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)))
                     names.append("ids")
-                packer.rows = []
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
         for batch in batches:

@@ -21,7 +21,7 @@ from .common import text_of, words_of
 #: Most frequent words in the broadcast table, words that the sketch tracks, longest word in it.
 TOP_WORDS, TRACKED, LONGEST = 50_000, 200_000, 40
 #: Words in one of the two generations of a worker's cache.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 LIMIT = 2048
 
 
