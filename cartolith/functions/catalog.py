@@ -149,6 +149,31 @@ def _predicate(name: str, apart: str, point_b: str, point_a: str, doc: str) -> S
     return SqlFunction(f"st_{name}", f"a {G}, b {G}", "BOOLEAN", body, doc, group="geo")
 
 
+_POSITION = "concat('[', c.x, ',', c.y, IF(c.z IS NULL, '', concat(',', c.z)), ']')"
+_RING_JSON = f"concat('[', array_join(transform(r, c -> {_POSITION}), ','), ']')"
+
+
+def _part_json(p: str) -> str:
+    """Coordinates of a part: a position, positions, or rings of these."""
+    rings = f"transform({p}.rings, r -> {_RING_JSON})"
+    point = f"transform(coalesce(get({p}.rings, 0), array()), c -> {_POSITION})"
+    return f"CASE {p}.kind WHEN 1 THEN coalesce(get({point}, 0), '[]') WHEN 2 THEN coalesce(get({rings}, 0), '[]') ELSE concat('[', array_join({rings}, ','), ']') END"
+
+
+_NAMES_JSON = "array('Point', 'LineString', 'Polygon', 'MultiPoint', 'MultiLineString', 'MultiPolygon')"
+_BOX_JSON = "concat('[[[', st_xmin(g), ',', st_ymin(g), '],[', st_xmin(g), ',', st_ymax(g), '],[', st_xmax(g), ',', st_ymax(g), '],[', st_xmax(g), ',', st_ymin(g), '],[', st_xmin(g), ',', st_ymin(g), ']]]')"
+_PART_TEXTS = f"transform(g.parts, p -> named_struct('n', get(p.path, 0), 'multi', size(p.path) > 1, 'kind', p.kind, 'c', {_part_json('p')}))"
+_MEMBER_STEP = (
+    "(acc, v) -> named_struct('n', v.n, 'multi', v.multi, 'out', concat(acc.out, IF(v.multi AND acc.multi AND v.n = acc.n, concat(',', v.c), "
+    "concat(IF(acc.multi, ']}', ''), IF(acc.n > 0, ',', ''), '{\"type\":\"', element_at(" + _NAMES_JSON + ", v.kind + IF(v.multi, 3, 0)), '\",\"coordinates\":', IF(v.multi, '[', ''), v.c, IF(v.multi, '', '}')))))"
+)
+_COLLECTION_JSON = f"aggregate({_PART_TEXTS}, named_struct('n', 0, 'multi', false, 'out', ''), {_MEMBER_STEP}, acc -> concat(acc.out, IF(acc.multi, ']}}', '')))"
+_JSON = (
+    f"CASE WHEN g.kind = 8 THEN {_BOX_JSON} WHEN g.kind = 7 THEN {_COLLECTION_JSON} WHEN g.kind IN (1, 2, 3) THEN coalesce(get(transform(g.parts, p -> {_part_json('p')}), 0), '[]') "
+    f"ELSE concat('[', array_join(transform(g.parts, p -> {_part_json('p')}), ','), ']') END"
+)
+
+
 CATALOG: list[SqlFunction] = [
     # --- constructors
     SqlFunction("st_point", "x DOUBLE, y DOUBLE, srid INT DEFAULT 0", G, _point(0, "xy"), "Point of x and y, with an SRID if given. Null if any argument is."),
@@ -283,6 +308,9 @@ CATALOG: list[SqlFunction] = [
     SqlFunction("st_pointfromgeohash", "h STRING", G, "_cell_centre(_geohash_cell(_geohash_checked(h)))", "Centre of the cell of a geohash.", group="geohash"),
     # --- input and output
     SqlFunction("st_geomfromtext", "wkt STRING", G, "_py_geomfromtext(wkt)", "Geometry of well-known text; malformed text is an error.", ("st_geometryfromtext", "st_wkttosql")),
+    SqlFunction("st_geomfromgeojson", "json STRING", G, "_py_geomfromgeojson(json)", "Geometry of a GeoJSON geometry."),
+    SqlFunction("st_asgeojson", f"g {G}", "STRING", f"CASE WHEN g IS NULL THEN NULL ELSE concat('{{\"type\":\"', element_at(array('Point', 'LineString', 'Polygon', 'MultiPoint', 'MultiLineString', 'MultiPolygon', 'GeometryCollection', 'Polygon'), g.kind), IF(g.kind = 7, '\",\"geometries\":[', '\",\"coordinates\":'), {_JSON}, IF(g.kind = 7, ']', ''), '}}') END",
+        "GeoJSON geometry with x, y and z."),
     SqlFunction("st_astext", f"g {G}", "STRING", "_py_astext(g)", "Well-known text."),
 ]
 

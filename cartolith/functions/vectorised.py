@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..kernels import shapes, validity, wkb, wkt
+from ..kernels import geojson, shapes, validity, wkb, wkt
 from ..kernels.geometry import Geometry
 from ..kernels.relate import PREDICATES, Shape, relate
 from ..types import ARROW_GEOM, GEOM
@@ -59,6 +59,7 @@ def _predicate(a: Geometry, b: Geometry, name: str) -> bool:
 #: name -> (result, kernel, arguments)
 KERNELS: dict[str, tuple[str, Callable, int]] = {
     "_py_geomfromtext": ("geom", wkt.read, 1),
+    "_py_geomfromgeojson": ("geom", geojson.read, 1),
     "_py_astext": ("string", wkt.write, 1),
     "st_geomfromwkb": ("geom", wkb.read, 1),
     "st_wkbtosql": ("geom", wkb.read, 1),

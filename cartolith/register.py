@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from .functions.catalog import CATALOG
 from .functions.vectorised import EXTENT, UDFS
 
-_PYTHON_NATIVE = ("_py_geomfromtext", "_py_astext", "st_geomfromwkb", "st_wkbtosql", "st_asbinary")
+_PYTHON_NATIVE = ("_py_geomfromtext", "_py_astext", "_py_geomfromgeojson", "st_geomfromwkb", "st_wkbtosql", "st_asbinary")
 
 
 def _register(spark: SparkSession, group: str) -> None:

@@ -1,0 +1,12 @@
+"""Readers and writers of spatial files."""
+
+from .flatgeobuf import FlatGeobufSource, read_flatgeobuf, write_flatgeobuf
+from .geojson import read_geojson, write_geojsonl
+from .geoparquet import geo_metadata, read_geoparquet, write_geoparquet
+
+__all__ = ["FlatGeobufSource", "geo_metadata", "read_flatgeobuf", "read_geojson", "read_geoparquet", "register_sources", "write_flatgeobuf", "write_geojsonl", "write_geoparquet"]
+
+
+def register_sources(spark) -> None:
+    """Makes ``spark.read.format("fgb")`` and ``df.write.format("fgb")`` known."""
+    spark.dataSource.register(FlatGeobufSource)
