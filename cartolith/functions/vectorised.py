@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
@@ -51,9 +52,81 @@ def _function(kind: str, kernel: Callable, arity: int):
     return F.arrow_udf(f, spark_type)
 
 
-def _predicate(a: Geometry, b: Geometry, name: str) -> bool:
-    x, y = Shape(a), Shape(b)
-    return bool(PREDICATES[name](relate(x, y), x, y))
+def _offsets(lists: pa.ListArray) -> np.ndarray:
+    found = lists.offsets.to_numpy()
+    return found if len(found) else np.zeros(1, np.int32)  # of no lists at all
+
+
+class _Shapes:
+    """Geometries of a column by row, as bytes that name them and as shapes made when first needed."""
+
+    def __init__(self, column: pa.Array, known: dict):
+        self.valid = column.is_valid().to_numpy(zero_copy_only=False)
+        kind, _, _, parts = column.flatten()
+        self.kind = kind.fill_null(0).to_numpy(zero_copy_only=False)
+        self.parts = _offsets(parts)
+        self.part_kind, _, rings = parts.values.flatten()
+        self.part_kind = self.part_kind.to_numpy(zero_copy_only=False)
+        self.rings = _offsets(rings)
+        self.coords = _offsets(rings.values)
+        self.x, self.y = (c.to_numpy(zero_copy_only=False) for c in rings.values.values.flatten()[:2])
+        self.known = known
+
+    def key(self, i: int) -> bytes:
+        p = slice(self.parts[i], self.parts[i + 1])
+        if p.start == p.stop:
+            return bytes((int(self.kind[i]),))
+        r = self.rings[p.start : p.stop + 1]
+        if r[0] == r[-1]:
+            return bytes((int(self.kind[i]),)) + self.part_kind[p].tobytes()
+        c = self.coords[r[0] : r[-1] + 1]
+        xy = slice(c[0], c[-1])
+        head = bytes((int(self.kind[i]),)) + self.part_kind[p].tobytes() + (r - r[0]).tobytes() + (c - c[0]).tobytes()
+        return head + self.x[xy].tobytes() + self.y[xy].tobytes()
+
+    def shape(self, i: int, key: bytes) -> Shape:
+        found = self.known.get(key)
+        if found is None:
+            parts = []
+            for p in range(self.parts[i], self.parts[i + 1]):
+                runs = [(self.coords[r], self.coords[r + 1]) for r in range(self.rings[p], self.rings[p + 1])]
+                parts.append((int(self.part_kind[p]), (), [list(zip(self.x[a:b].tolist(), self.y[a:b].tolist(), strict=True)) for a, b in runs]))
+            found = self.known[key] = Shape(Geometry(int(self.kind[i]), parts))
+        return found
+
+
+#: Shapes and matrices that a batch keeps: constants and repeated pairs are worked out once.
+_KEPT = 8192
+
+
+def _matrices(a: pa.Array, b: pa.Array):
+    """(matrix, shape, shape) of each pair, none where one is null."""
+    shapes_: dict[bytes, Shape] = {}
+    left, right = _Shapes(a, shapes_), _Shapes(b, shapes_)
+    codes: dict[tuple, str] = {}
+    for i in range(len(a)):
+        if not (left.valid[i] and right.valid[i]):
+            yield None
+            continue
+        ka, kb = left.key(i), right.key(i)
+        x, y = left.shape(i, ka), right.shape(i, kb)
+        code = codes.get((ka, kb))
+        if code is None:
+            code = codes[ka, kb] = relate(x, y)
+        yield code, x, y
+        if len(shapes_) > _KEPT:
+            shapes_.clear()
+        if len(codes) > _KEPT:
+            codes.clear()
+
+
+def _predicate_batch(a: pa.Array, b: pa.Array, name: pa.Array) -> pa.Array:
+    tests = [PREDICATES[n] if n else None for n in name.to_pylist()]
+    return pa.array([None if m is None or t is None else bool(t(*m)) for m, t in zip(_matrices(a, b), tests, strict=True)], pa.bool_())
+
+
+def _relate_batch(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([m and m[0] for m in _matrices(a, b)], pa.string())
 
 
 #: name -> (result, kernel, arguments)
@@ -71,12 +144,12 @@ KERNELS: dict[str, tuple[str, Callable, int]] = {
     "_py_pointonsurface": ("geom", shapes.point_on_surface, 1),
     "_py_simplify": ("geom", shapes.simplify, 3),
     "_py_linemerge": ("geom", shapes.line_merge, 2),
-    "_py_predicate": ("boolean", _predicate, 3),
-    "_py_relate": ("string", lambda a, b: relate(Shape(a), Shape(b)), 2),
     "_py_isvalidreason": ("string", validity.reason, 1),
 }
 
 UDFS = {name: _function(*spec) for name, spec in KERNELS.items()}
+UDFS["_py_predicate"] = F.arrow_udf(_predicate_batch, T.BooleanType())
+UDFS["_py_relate"] = F.arrow_udf(_relate_batch, T.StringType())
 
 
 def _extent(g: pa.Array) -> float:
