@@ -36,6 +36,10 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/cartolith-{uuid.uuid4().hex}"
         self.made = 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)  # with the driver
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.made += 1

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, UnionFind, components
 
 THRESHOLD = 0.9
-#: Nodes of a shard and queries of a block at most; shards at least.
-SHARD_NODES, BLOCK_NODES, SHARDS = 200_000, 20_000, 8
+#: Bytes of the vectors of a shard and of a block of queries at most, about; shards at least.
+SHARD_BYTES, BLOCK_BYTES, SHARDS = 100_000_000, 40_000_000, 8
 #: Links of a node (twice as many on the ground layer), beam while building, first beam of a search.
 M, BUILD_BEAM, BEAM = 12, 40, 32
 #: Queries of a block that are audited by brute force, and the recall of links that they must reach.
@@ -304,8 +304,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = scratch.save(rows.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v")), "vectors")
     nodes = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"), F.first("dim").alias("dim"))
     nodes = scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    total = nodes.count()
-    shards, blocks = max(SHARDS, -(-total // SHARD_NODES)), max(1, -(-total // BLOCK_NODES))
+    total = nodes.agg(F.coalesce(F.sum("dim"), F.lit(0)).alias("n")).first().n * 8
+    shards, blocks = max(SHARDS, -(-total // SHARD_BYTES)), max(1, -(-total // BLOCK_BYTES))
     dealt = nodes.select("node", "n", "v", "dim", F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), F.pmod("h2", F.lit(blocks)).cast("int").alias("block"))
     graphs = scratch.save(dealt.groupBy("shard").applyInArrow(_build, "shard int, graph binary"), "graphs")
     queries = dealt.drop("shard").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("shard", "block", "node", "v", "dim")

@@ -7,6 +7,7 @@ so a text's tokens are those of its words. ``WordCounts`` and ``WordIds`` keep w
 from __future__ import annotations
 
 import json
+import math
 import os
 import struct
 from collections.abc import Callable, Iterator
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import text_of, words_of
 
 #: Most frequent words in the broadcast table, words that the sketch tracks, longest word in it.
-TOP_WORDS, TRACKED, LONGEST = 50_000, 200_000, 40
+TOP_WORDS, TRACKED, LONGEST = 20_000, 65_536, 40
 #: Words in one of the two generations of a worker's cache.
 CACHE_WORDS = 250_000
 LIMIT = 2048
@@ -89,8 +90,12 @@ def frequent_words(docs: DataFrame, text_col: str = "text", k: int = TOP_WORDS,
     Sketches are merged, words aren't shuffled. What it returns bears on speed alone.
     """
     words = docs.select(F.explode(words_of(text_of(text_col))).alias("w")).where(F.char_length("w") <= LONGEST)
-    row = words.agg(F.expr(f"approx_top_k(w, {k}, {tracked})").alias("top")).first()
-    return [x["item"] for x in row["top"] or []]
+    # tasks' sketches meet in groups first, so that none meets all of them
+    groups = max(1, math.isqrt(docs.rdd.getNumPartitions()))
+    some = words.groupBy(F.pmod(F.spark_partition_id(), F.lit(groups)).alias("g")).agg(F.expr(f"approx_top_k_accumulate(w, {tracked})").alias("s"))
+    # by a constant: no row, rather than an error, of no documents
+    row = some.groupBy(F.lit(0).alias("g")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {k})").alias("top")).first()
+    return [x["item"] for x in row["top"] or []] if row else []
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = LIMIT) -> DataFrame:
