@@ -246,7 +246,7 @@ CATALOG: list[SqlFunction] = [
     SqlFunction("st_length", f"g {G}", "DOUBLE", f"aggregate(filter(g.parts, p -> p.kind = 2), 0D, (s, p) -> s + coalesce(aggregate({_pairs('get(p.rings, 0)', _SEGMENT)}, {_SUM}), 0D))",
         "Planar length of lines; 0 for points and polygons.", ("st_length2d",), "geo"),
     SqlFunction("st_distance", f"a {G}, b {G}", "DOUBLE",
-        "coalesce(IF(a.kind = 1 AND b.kind = 1, hypot(st_x(a) - st_x(b), st_y(a) - st_y(b)), NULL), _py_distance(IF(a.kind = 1 AND b.kind = 1, NULL, a), b))",
+        "coalesce(IF(a.kind = 1 AND b.kind = 1, hypot(st_x(a) - st_x(b), st_y(a) - st_y(b)), NULL), _py_distance(IF(a.kind = 1 AND b.kind = 1, NULL, a), IF(a.kind = 1 AND b.kind = 1, NULL, b)))",
         "Smallest planar distance; null for empty geometries.", group="geo"),
     # --- processing
     SqlFunction("_total", f"m ARRAY<{_MOMENTS}>", _MOMENTS,

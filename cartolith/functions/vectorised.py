@@ -4,26 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..kernels import geojson, shapes, validity, wkb, wkt
-from ..kernels.geometry import Geometry
 from ..kernels.relate import PREDICATES, Shape, relate
 from ..types import ARROW_GEOM, GEOM
+from .arrays import Column, decode, encode
 
 _OUT = {"geom": (GEOM, ARROW_GEOM), "string": (T.StringType(), pa.string()), "double": (T.DoubleType(), pa.float64()), "boolean": (T.BooleanType(), pa.bool_()), "binary": (T.BinaryType(), pa.binary())}
 
 
 def _values(column: pa.Array) -> list:
-    return [Geometry.of(v) if isinstance(v, dict) else v for v in column.to_pylist()]
-
-
-def _row(v):
-    return v.row() if isinstance(v, Geometry) else v
+    return decode(column) if pa.types.is_struct(column.type) else column.to_pylist()
 
 
 def _function(kind: str, kernel: Callable, arity: int):
@@ -32,7 +27,8 @@ def _function(kind: str, kernel: Callable, arity: int):
 
     def run(*columns):
         rows = zip(*map(_values, columns), strict=True)
-        return pa.array([None if any(v is None for v in row) else _row(kernel(*row)) for row in rows], arrow_type)
+        out = [None if any(v is None for v in row) else kernel(*row) for row in rows]
+        return encode(out) if kind == "geom" else pa.array(out, arrow_type)
 
     if arity == 1:
 
@@ -52,70 +48,37 @@ def _function(kind: str, kernel: Callable, arity: int):
     return F.arrow_udf(f, spark_type)
 
 
-def _offsets(lists: pa.ListArray) -> np.ndarray:
-    found = lists.offsets.to_numpy()
-    return found if len(found) else np.zeros(1, np.int32)  # of no lists at all
-
-
-class _Shapes:
-    """Geometries of a column by row, as bytes that name them and as shapes made when first needed."""
-
-    def __init__(self, column: pa.Array, known: dict):
-        self.valid = column.is_valid().to_numpy(zero_copy_only=False)
-        kind, _, _, parts = column.flatten()
-        self.kind = kind.fill_null(0).to_numpy(zero_copy_only=False)
-        self.parts = _offsets(parts)
-        self.part_kind, _, rings = parts.values.flatten()
-        self.part_kind = self.part_kind.to_numpy(zero_copy_only=False)
-        self.rings = _offsets(rings)
-        self.coords = _offsets(rings.values)
-        self.x, self.y = (c.to_numpy(zero_copy_only=False) for c in rings.values.values.flatten()[:2])
-        self.known = known
-
-    def key(self, i: int) -> bytes:
-        p = slice(self.parts[i], self.parts[i + 1])
-        if p.start == p.stop:
-            return bytes((int(self.kind[i]),))
-        r = self.rings[p.start : p.stop + 1]
-        if r[0] == r[-1]:
-            return bytes((int(self.kind[i]),)) + self.part_kind[p].tobytes()
-        c = self.coords[r[0] : r[-1] + 1]
-        xy = slice(c[0], c[-1])
-        head = bytes((int(self.kind[i]),)) + self.part_kind[p].tobytes() + (r - r[0]).tobytes() + (c - c[0]).tobytes()
-        return head + self.x[xy].tobytes() + self.y[xy].tobytes()
-
-    def shape(self, i: int, key: bytes) -> Shape:
-        found = self.known.get(key)
-        if found is None:
-            parts = []
-            for p in range(self.parts[i], self.parts[i + 1]):
-                runs = [(self.coords[r], self.coords[r + 1]) for r in range(self.rings[p], self.rings[p + 1])]
-                parts.append((int(self.part_kind[p]), (), [list(zip(self.x[a:b].tolist(), self.y[a:b].tolist(), strict=True)) for a, b in runs]))
-            found = self.known[key] = Shape(Geometry(int(self.kind[i]), parts))
-        return found
-
-
 #: Shapes and matrices that a batch keeps: constants and repeated pairs are worked out once.
 _KEPT = 8192
 
 
 def _matrices(a: pa.Array, b: pa.Array):
     """(matrix, shape, shape) of each pair, none where one is null."""
-    shapes_: dict[bytes, Shape] = {}
-    left, right = _Shapes(a, shapes_), _Shapes(b, shapes_)
+    if a.null_count == len(a) or b.null_count == len(b):
+        yield from [None] * len(a)
+        return
+    left, right = Column(a), Column(b)
+    known: dict[bytes, Shape] = {}
+
+    def shape(side: Column, i: int, key: bytes) -> Shape:
+        found = known.get(key)
+        if found is None:
+            found = known[key] = Shape(side.geometry(i))
+        return found
+
     codes: dict[tuple, str] = {}
     for i in range(len(a)):
         if not (left.valid[i] and right.valid[i]):
             yield None
             continue
         ka, kb = left.key(i), right.key(i)
-        x, y = left.shape(i, ka), right.shape(i, kb)
+        x, y = shape(left, i, ka), shape(right, i, kb)
         code = codes.get((ka, kb))
         if code is None:
             code = codes[ka, kb] = relate(x, y)
         yield code, x, y
-        if len(shapes_) > _KEPT:
-            shapes_.clear()
+        if len(known) > _KEPT:
+            known.clear()
         if len(codes) > _KEPT:
             codes.clear()
 

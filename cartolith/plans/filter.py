@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import functions as st
+from ..functions.arrays import decode
 from ..kernels.geometry import Geometry
 from ..kernels.relate import PREDICATES, Shape, relate
 from ..kernels.wkt import read
@@ -37,12 +38,9 @@ def spatial_filter(df: DataFrame, geom: str, wkt: str, predicate: str = "interse
     def exact(g: pa.Array) -> pa.Array:
         prepared = Shape(Geometry.of(row))
         out = []
-        for v in g.to_pylist():
-            if v is None:
-                out.append(None)
-                continue
-            shape = Shape(Geometry.of(v))
-            out.append(bool(PREDICATES[predicate](relate(shape, prepared), shape, prepared)))
+        for v in decode(g):
+            shape = v and Shape(v)
+            out.append(shape and bool(PREDICATES[predicate](relate(shape, prepared), shape, prepared)))
         return pa.array(out, pa.bool_())
 
     g = st.as_geom(df, geom)
