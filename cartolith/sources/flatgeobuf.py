@@ -424,9 +424,20 @@ class FlatGeobufSource(DataSource):
         return _Writer(schema, dict(self.options), overwrite)
 
 
-def read_flatgeobuf(spark: SparkSession, path: str, bbox: tuple | None = None) -> DataFrame:
-    """Features, those whose boxes meet ``bbox`` if it is given; apply the exact predicate after it."""
+def read_flatgeobuf(spark: SparkSession, path: str, bbox: tuple | None = None, intersects: str | None = None) -> DataFrame:
+    """Features, those whose boxes meet ``bbox`` if it is given.
+
+    ``intersects``: well-known text; its box is looked up in the index, and the predicate is then applied
+    to the features found.
+    """
     spark.dataSource.register(FlatGeobufSource)
+    if intersects is not None:
+        from ..kernels.wkt import read
+        from ..plans.filter import spatial_filter
+
+        xs, ys = zip(*read(intersects).coords(), strict=True)
+        near = read_flatgeobuf(spark, path, (min(xs), min(ys), max(xs), max(ys)))
+        return spatial_filter(near, "geometry", intersects)
     reader = spark.read.format("fgb").option("path", path)
     return (reader.option("bbox", ",".join(map(repr, bbox))) if bbox else reader).load()
 

@@ -7,13 +7,49 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import functions as st
 from ..plans.filter import bbox_column
-from ..types import extension_metadata
+from ..types import GEOM_DDL, extension_metadata
+
+
+#: Native encodings: kind, part kind, and lists around a coordinate within a part.
+NATIVE = {"point": (1, 1, 0), "linestring": (2, 2, 1), "polygon": (3, 3, 2), "multipoint": (4, 1, 0), "multilinestring": (5, 2, 1), "multipolygon": (6, 3, 2)}
+
+
+def native_geometry(name: str, kind: T.DataType, encoding: str, srid: int) -> Column:
+    """A column of separated coordinates in nested lists as geometries, by built-in expressions alone."""
+    code, part, depth = NATIVE[encoding]
+    inner = kind
+    while isinstance(inner, T.ArrayType):
+        inner = inner.elementType
+    z, m = "z" in inner.names, "m" in inner.names
+    dim = z + 2 * m
+
+    def coord(c: str) -> str:
+        return f"named_struct('x', {c}.x, 'y', {c}.y, 'z', {f'{c}.z' if z else 'CAST(NULL AS DOUBLE)'}, 'm', {f'{c}.m' if m else 'CAST(NULL AS DOUBLE)'})"
+
+    def rings(g: str) -> str:
+        if depth == 0:
+            return f"array(array({coord(g)}))"
+        if depth == 1:
+            return f"array(transform({g}, c -> {coord('c')}))"
+        return f"transform({g}, r -> transform(r, c -> {coord('c')}))"
+
+    def one(g: str, path: str) -> str:
+        return f"named_struct('kind', {part}Y, 'path', {path}, 'rings', {rings(g)})"
+
+    g = f"`{name}`"
+    no_path = "CAST(array() AS ARRAY<INT>)"
+    if code > 3:
+        parts = f"transform({g}, (p, i) -> {one('p', 'array(i + 1)')})"
+    else:
+        empty = f"isnan({g}.x)" if code == 1 else f"size({g}) = 0"
+        parts = f"filter(array({one(g, no_path)}), p -> NOT {empty})"
+    return F.expr(f"IF({g} IS NULL, NULL, CAST(named_struct('kind', {code}Y, 'dim', {dim}Y, 'srid', {srid}, 'parts', {parts}) AS {GEOM_DDL}))")
 
 
 def geo_metadata(spark: SparkSession, path: str) -> dict:
@@ -35,7 +71,7 @@ def geo_metadata(spark: SparkSession, path: str) -> dict:
 
 
 def read_geoparquet(spark: SparkSession, path: str, bbox: tuple | None = None, decode: bool = True) -> DataFrame:
-    """The table, its geometry columns as geometries, or as binary if not ``decode``.
+    """The table, its geometry columns as geometries; those in WKB as binary if not ``decode``.
 
     Geometry columns carry their encoding and reference system as column metadata. ``bbox`` keeps rows
     whose covering column, if the file has one, meets the box; row groups outside are skipped.
@@ -55,12 +91,14 @@ def read_geoparquet(spark: SparkSession, path: str, bbox: tuple | None = None, d
         if not spec:
             out.append(F.col(f"`{name}`"))
             continue
-        if spec.get("encoding", "WKB") != "WKB":
-            raise ValueError(f"{name} is encoded as {spec['encoding']}, only WKB is read")
         code = ((spec.get("crs") or {}).get("id") or {}) if "crs" in spec else {"authority": "OGC", "code": 4326}
         srid = int(code["code"]) if str(code.get("code", "")).isdigit() else 0
-        g = st.st_geomfromwkb(name) if decode else F.col(name)
-        if decode and srid:
+        encoding = spec.get("encoding", "WKB")
+        if encoding != "WKB" and encoding not in NATIVE:
+            raise ValueError(f"{name} has the unknown encoding {encoding}")
+        native = encoding != "WKB"
+        g = native_geometry(name, df.schema[name].dataType, encoding, srid) if native else st.st_geomfromwkb(name) if decode else F.col(name)
+        if decode and srid and not native:
             g = F.when(g.isNotNull(), g.withField("srid", F.lit(srid)))
         out.append(g.alias(name, metadata=extension_metadata(srid or None)))
     return df.select(*out)

@@ -127,6 +127,7 @@ def test_flatgeobuf(spark, table, tmp_path, index):
     assert header.count == 8 and header.levels == levels(8, index) and file.read_bytes()[:8] == MAGIC
     assert shown(read_flatgeobuf(spark, path)) == shown(some)
     assert sorted(r.id for r in read_flatgeobuf(spark, path, (6.5, 6.5, 8, 8)).select("id").collect()) == [6, 8]
+    assert [r.id for r in read_flatgeobuf(spark, path, intersects="POLYGON((6 8,8 8,8 6.5,6 8))").select("id").collect()] == [6]  # its box holds 8 too
     write_flatgeobuf(table, path, "overwrite")
     assert shown(read_flatgeobuf(spark, path)) == shown(table)
 
@@ -152,6 +153,29 @@ def test_geoparquet(spark, table, tmp_path):
     assert geo_metadata(spark, str(tmp_path / "plain")) == {}
 
 
+def test_native_geoparquet(spark, tmp_path):
+    import json
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    c = lambda *xy: [{"x": float(x), "y": float(y)} for x, y in xy]
+    columns = {
+        "point": [c((1, 2))[0], None], "linestring": [c((0, 0), (1, 1)), []], "polygon": [[c((0, 0), (4, 0), (4, 4), (0, 0)), c((2, 1), (3, 1), (3, 2), (2, 1))], None],
+        "multipoint": [c((0, 0), (1, 1)), []], "multilinestring": [[c((0, 0), (1, 1)), c((2, 2), (3, 3))], None], "multipolygon": [[[c((0, 0), (1, 0), (1, 1), (0, 0))]], None],
+    }
+    meta = {"version": "1.1.0", "primary_column": "point", "columns": {n: {"encoding": n, "geometry_types": []} for n in columns}}
+    table = pa.table(columns)
+    pq.write_table(table.replace_schema_metadata({"geo": json.dumps(meta)}), tmp_path / "n.parquet")
+    df = read_geoparquet(spark, str(tmp_path / "n.parquet"))
+    first, second = df.select(*[st.st_astext(n).alias(n) for n in columns]).collect()
+    assert first.asDict() == {
+        "point": "POINT(1 2)", "linestring": "LINESTRING(0 0,1 1)", "polygon": "POLYGON((0 0,4 0,4 4,0 0),(2 1,3 1,3 2,2 1))", "multipoint": "MULTIPOINT((0 0),(1 1))",
+        "multilinestring": "MULTILINESTRING((0 0,1 1),(2 2,3 3))", "multipolygon": "MULTIPOLYGON(((0 0,1 0,1 1,0 0)))",
+    }
+    assert second.asDict() == {"point": None, "linestring": "LINESTRING EMPTY", "polygon": None, "multipoint": "MULTIPOINT EMPTY", "multilinestring": None, "multipolygon": None}
+
+
 def test_wkb_of_other_encodings():
     big = struct.pack(">BIdd", 0, 1, 1.5, -2.0)
     extended = struct.pack("<BIIddd", 1, 1 | 0x80000000 | 0x20000000, 4326, 1.0, 2.0, 3.0)
