@@ -135,10 +135,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.save(contracted(edges.toDF("a", "b").where("a <> b")), "links")
     seen = signature(now)
     while seen[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = contracted(large.where("a <> b").distinct())
+        # a node with smaller neighbours hands its larger ones to the smallest of these; others keep them
+        least = now.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        large = now.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        large = contracted(large.distinct())
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(small, "a")
         after = joined.select("a", F.col("m").alias("b")).unionByName(
