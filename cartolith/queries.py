@@ -162,6 +162,27 @@ SELECT k, array_to_string(list_transform(range(0, 12), lambda i: substr('{_B32}'
         "SELECT k, abs(st_x(c) - x) <= (st_xmax(b) - st_xmin(b)) / 2 cx, st_ymin(b) <= y AND y <= st_ymax(b) cy, st_x(st_pointfromgeohash('9qqj')) gx FROM (SELECT k, x, y, st_pointfromgeohash(h) c, st_box2dfromgeohash(h) b FROM (SELECT k, x, y, st_geohash(st_point(x, y), 7) h FROM (" + _CUSTOMER + ")))",
         "SELECT k, true cx, true cy, -115.13671875::DOUBLE gx FROM (" + _CUSTOMER_DUCK + ")",
     ),
+    "cte_values_order": (
+        "WITH v(k, w) AS (VALUES (1, 'MULTILINESTRING((0 0,1 1),(1 1,2 2))'), (2, CAST(NULL AS STRING)), (CAST(NULL AS INT), 'LINESTRING(5 5,6 6)')) SELECT coalesce(k, -1) k, st_astext(st_linemerge(st_geomfromtext(w))) t FROM v ORDER BY k NULLS LAST LIMIT 3",
+        "SELECT * FROM (VALUES (1, 'LINESTRING(0 0,1 1,2 2)'), (2, NULL), (-1, 'LINESTRING(5 5,6 6)')) v(k, t)",
+    ),
+    "nearest_by_nation": (
+        "SELECT n, s, r, round(d, 6) d FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY d, s) r FROM (SELECT n_nationkey n, s_suppkey s, st_distance(st_point(n_nationkey % 5 * 10D, 7D), st_point(s_suppkey % 50 * 1D, s_nationkey * 1D)) d "
+        "FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey)) WHERE r <= 3",
+        "SELECT n, s, r::INTEGER r, round(d, 6) d FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY d, s) r FROM (SELECT n_nationkey n, s_suppkey s, sqrt((n_nationkey % 5 * 10 - s_suppkey % 50) ** 2 + (7 - s_nationkey) ** 2) d FROM supplier JOIN nation ON s_nationkey = n_nationkey)) WHERE r <= 3",
+    ),
+    "path_length_by_user": (
+        "SELECT u, round(sum(st_distance(p, q)), 3) l, count(*) n FROM (SELECT user_id u, p, lag(p) OVER (PARTITION BY user_id ORDER BY ts, event_id) q FROM (SELECT user_id, ts, event_id, st_point(event_id % 100 * 1D, value) p FROM {events})) GROUP BY u",
+        "SELECT u, round(sum(sqrt((x - qx) ** 2 + (y - qy) ** 2)), 3) l, count(*) n FROM (SELECT user_id u, x, y, lag(x) OVER w qx, lag(y) OVER w qy FROM (SELECT user_id, ts, event_id, (event_id % 100)::DOUBLE x, value y FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) GROUP BY u",
+    ),
+    "extent_rollup": (
+        "SELECT coalesce(m, '-') m, coalesce(n, -1) n, min(st_xmin(p)) x0, max(st_ymax(p)) y1, count(*) c FROM (SELECT c_mktsegment m, c_nationkey n, st_point(c_acctbal, c_custkey * 1D) p FROM {customer}) GROUP BY ROLLUP (m, n)",
+        "SELECT coalesce(m, '-') m, coalesce(n, -1) n, min(x) x0, max(y) y1, count(*) c FROM (SELECT c_mktsegment m, c_nationkey n, c_acctbal x, c_custkey::DOUBLE y FROM customer) GROUP BY ROLLUP (m, n)",
+    ),
+    "set_operations": (
+        "SELECT t FROM (SELECT st_astext(st_point(s_suppkey % 50 * 1D, s_nationkey * 1D)) t FROM {supplier} UNION SELECT st_astext(st_point(n_nationkey * 1D, n_regionkey * 1D)) FROM {nation}) EXCEPT SELECT st_astext(st_point(n_nationkey * 1D, 1D)) FROM {nation}",
+        "SELECT t FROM (SELECT 'POINT(' || (s_suppkey % 50) || ' ' || s_nationkey || ')' t FROM supplier UNION SELECT 'POINT(' || n_nationkey || ' ' || n_regionkey || ')' FROM nation) EXCEPT SELECT 'POINT(' || n_nationkey || ' 1)' FROM nation",
+    ),
     "st_extent_sql": (
         "SELECT n, e[0] x0, e[1] y0, e[2] x1, e[3] y1 FROM (SELECT n, st_extent(st_point(x, y)) e FROM (" + _CUSTOMER + ") GROUP BY n)",
         "SELECT n, min(x) x0, min(y) y0, max(x) x1, max(y) y1 FROM (" + _CUSTOMER_DUCK + ") GROUP BY n",
