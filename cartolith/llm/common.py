@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,11 +30,28 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Rows and bytes of the batches in which rows are handed to Python, at most.
+BATCH_ROWS, BATCH_BYTES = 2000, 8_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits on Arrow batches to those above, if they are higher.
+
+    A batch is held, outside the heap and more than once, by every running task: with whole texts in the
+    rows, the default of 10,000 rows takes hundreds of megabytes an executor.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        digits = re.match(r"\d+", spark.conf.get(key))
+        if not digits or not 0 < int(digits[0]) <= most:
+            spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage; ``drop`` deletes those no longer needed."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        bounded_batches(spark)
         self.root = f"{shared_dir(spark)}/cartolith-{uuid.uuid4().hex}"
         self.made = 0
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "region", "heading")
 
 #: Labelled blocks: the features in order, then 1 for main text. region: -1 furniture, 0 unknown, 1 article.
@@ -249,6 +251,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     Null and empty pages, and pages without main text, give an empty text. Pages may be of any length and
     any brokenness; repeated rows give repeated rows. Nothing is shuffled.
     """
+    bounded_batches(pages.sparkSession)
     tree = train(labelled)
     kinds = [f"`k{i}` {pages.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
 

@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .tokens import ByteEncoder, _per_worker, vocabulary_path
 
 WINDOW, END = 2048, 1
@@ -166,6 +167,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     Null and empty texts give the end id alone. Ids may be null or repeat: each row of the input is a
     document of its own. Documents longer than a window are cut. An empty table gives no pieces.
     """
+    bounded_batches(docs.sparkSession)
     path = path or vocabulary_path("byte_bpe_50k.json")
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, words_of
+from .common import bounded_batches, text_of, words_of
 
 #: Most frequent words in the broadcast table, words that the sketch tracks, longest word in it.
 TOP_WORDS, TRACKED, LONGEST = 20_000, 65_536, 40
@@ -105,6 +105,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Special tokens are found inside texts as the library does by default. Texts may be of any length.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = path or vocabulary_path("word_bpe_49k.json")
     top = frequent_words(docs, text_col)
     tokenizer = load_tokenizer(path)
