@@ -73,6 +73,19 @@ QUERIES: dict[str, Query] = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE: dict[str, str] = {
+    "op9_repeats": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, p, md5(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS p FROM d)),
+m AS (SELECT r, p FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+i AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 200 THEN 0 ELSE 1 END AS new FROM m),
+g AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS g FROM i),
+s AS (SELECT r, min(p) AS a, max(p) + 200 AS b FROM g GROUP BY r, g),
+t AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS b FROM s GROUP BY r),
+pieces AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS x, a AS y FROM s UNION ALL SELECT r, b, NULL FROM t),
+kept AS (SELECT r, string_agg(substr(h, 2 * x + 1, CASE WHEN y IS NULL THEN length(h) ELSE 2 * (y - x) END), '' ORDER BY x) AS left_ FROM pieces JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(left_, h))) AS kept_sha256
+FROM d LEFT JOIN t USING (r) LEFT JOIN kept USING (r)""",
     "op1_hnsw": """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 ok AS (SELECT * FROM v WHERE list_sum(list_transform(e, lambda x: x * x)) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
