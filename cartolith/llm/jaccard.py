@@ -16,10 +16,10 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_words, components
+from .common import Scratch, ascii_words, components, row_hashes
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 #: One document of so many is counted for the order; shingles of so many of these go last, and at most
@@ -185,13 +185,6 @@ def _across(ratio: Fraction, turn: int | None) -> Callable:
     return run
 
 
-def row_hashes(names: list[str]) -> tuple[Column, Column]:
-    """128 bits of a row. Hashes skip nulls, so their places are hashed too."""
-    columns = [F.col(f"`{n}`") for n in names]
-    nulls = [c.isNull() for c in columns]
-    return F.xxhash64(*columns, *nulls), F.xxhash64(F.lit(1), *columns, *nulls)
-
-
 def _links(nodes: DataFrame, texts: DataFrame, shingle: int, ratio: Fraction, scratch: Scratch) -> DataFrame:
     """(node, component) of the nodes that have a link. ``texts``: h1, h2, text."""
     keys = nodes.select(F.explode("prefix").alias("key"), "node", "size").repartition("key").sortWithinPartitions("key")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_words, components, spanning_edges
+from .common import Scratch, ascii_words, components, row_hashes, spanning_edges
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Up to so many distinct fingerprints three segments keep buckets small; beyond, two of 32 bits.
@@ -157,15 +157,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, all columns of the input.
+    """One row of each component, all columns of the input.
 
-    A null id stands below all others. Rows with an equal id that is kept leave one row.
+    The row with the smallest id is kept, nulls first, and of rows with equal ids the one with the
+    smallest hash. Rows are told apart by all of their columns, so ids may be null or repeat.
     """
-    names = docs.columns
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    keyed = docs.select(key.alias("_key"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"))
-    slim = docs.select(key.alias("_key"), F.col(text_col).alias("_text"))
-    found = simhash_components(slim, "_key", "_text")
-    kept = found.where("_key = component_id").select("_key").distinct()
-    left = keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"])
-    return left.select("_row.*")
+    scratch, names = Scratch(docs.sparkSession), docs.columns
+    h1, h2 = row_hashes(names)
+    slim = docs.select(F.col(id_col).alias("id"), h1.alias("h1"), h2.alias("h2"), F.col(text_col).alias("text"))
+    rows = slim.select(F.struct("id", "h1", "h2").alias("at"), F.col("text").cast("string").alias("text"))
+    places = scratch.save(rows.groupBy("at").agg(F.first("text").alias("text")).withColumn("place", F.monotonically_increasing_id()), "places")
+    found = simhash_components(places, "place", "text", scratch=scratch)
+    kept = places.join(found, "place").groupBy("component_id").agg(F.min("at").alias("at"))
+    kept = kept.select(F.col("at.h1").alias("_h1"), F.col("at.h2").alias("_h2"))
+    keyed = docs.select(h1.alias("_h1"), h2.alias("_h2"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"))
+    return keyed.join(kept, ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"]).select("_row.*")

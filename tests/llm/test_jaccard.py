@@ -7,7 +7,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline
-from cartolith.llm import jaccard
+from cartolith.llm import jaccard, simhash
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,3 +63,11 @@ def test_the_stage_joins_five_word_shingles_at_four_fifths(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id IN (255, 1, 582, 875, 643, 770)")
     assert ids_of(corpus_pipeline.near_duplicates(spark, docs, SF)) == kept_by_hand([(r.doc_id, r.text) for r in docs.collect()])
     assert corpus_pipeline.near_duplicates(spark, docs, SF).count() == 3
+
+
+@pytest.mark.parametrize("one_of_each", [jaccard.one_of_each, simhash.one_of_each])
+def test_rows_without_or_with_equal_ids_stay(make_docs, one_of_each):
+    words = lambda k: " ".join(f"{k}word{i}" for i in range(40))
+    rows = [(None, words(f"n{k}"), "s") for k in range(5)] + [(7, words("x"), "s"), (7, words("y"), "s"), (3, words("y"), "s"), (7, words("x"), "s")]
+    kept = [(r.doc_id, r.text) for r in one_of_each(make_docs(rows)).collect()]
+    assert sorted(kept, key=str) == sorted([*((None, words(f"n{k}")) for k in range(5)), (7, words("x")), (3, words("y"))], key=str)
