@@ -127,20 +127,40 @@ class UnionFind:
             self.parent.setdefault(a, a)
 
 
+def star_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node it reaches) that connect what the edges a-b do."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j, label = ends[: len(a)], ends[len(a) :], np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        for end in (i, j):  # of the ends and of what they are labelled with
+            np.minimum.at(new, end, low)
+            np.minimum.at(new, label[end], low)
+        while not np.array_equal(new[new], new):
+            new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[other], nodes[label[other]]
+
+
+#: Edges of a partition that are held before they are contracted.
+HELD_EDGES = 1 << 21
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replaces the edges of a partition by stars: each node with the smallest node it reaches."""
-    forest = UnionFind()
+    a, b = np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            forest.union(a, b)
-    nodes = list(forest.parent)
-    pairs = [(x, root) for x in nodes if (root := forest.find(x)) != x]
-    for i in range(0, len(pairs), 65536):
-        a, b = zip(*pairs[i : i + 65536], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGES)
+        a, b = np.append(a, batch.column(0).to_numpy()), np.append(b, batch.column(1).to_numpy())
+        if len(a) > HELD_EDGES:  # stars need no more room than their nodes
+            a, b = star_edges(a, b)
+    a, b = star_edges(a, b)
+    for i in range(0, len(a), 65536):
+        yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 65536]), pa.array(b[i : i + 65536])], schema=_EDGES)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -1,7 +1,10 @@
+import time
+
 import numpy as np
 import pytest
 
 from cartolith.llm import hnsw
+from cartolith.llm.common import star_edges
 
 SF = "/root/testdata/sf0.01"
 
@@ -40,14 +43,54 @@ def test_table(spark):
     assert got == brute([(r.vec_id, r.embedding) for r in df.collect()])
 
 
+def ask(x, q, own, weight=None, threshold=0.9):
+    graph = hnsw.Graph(x, max(hnsw.COPY, np.cos(np.arccos(threshold) / 2)))
+    return hnsw.Links(graph, x, np.ones(len(x)) if weight is None else weight, q, own, threshold)
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 @pytest.mark.parametrize("n", [1, 2, 300, 3000])
-def test_recall_of_a_graph(n):
+@pytest.mark.parametrize("spread", [0.02, 0.2, 0.33])
+def test_recall_of_a_graph(n, spread):
+    """Small groups beside one of a third of all vectors, tight or as wide as the threshold."""
     rng = np.random.default_rng(n)
     centres = rng.normal(size=(max(1, n // 20), 32))
-    x = np.concatenate([centres[rng.integers(0, len(centres), n - n // 3)] + 0.15 * rng.normal(size=(n - n // 3, 32)), centres[:1] + 0.2 * rng.normal(size=(n // 3, 32))])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    graph = hnsw.Graph(x)
-    a, b = hnsw.links_in(graph, x, x, 0.9)
-    true = x @ x.T >= 0.9
-    assert true[a, b].all() and len(set(zip(a.tolist(), b.tolist(), strict=True))) == len(a)
-    assert len(a) >= 0.99 * true.sum()
+    x = unit(np.concatenate([centres[rng.integers(0, len(centres), n - n // 3)] + 0.15 * rng.normal(size=(n - n // 3, 32)), centres[:1] + spread * rng.normal(size=(n // 3, 32))]))
+    weight = rng.integers(1, 4, n).astype(float)
+    found = ask(x, x, np.arange(n), weight)
+    near = x @ x.T >= 0.9
+    true = near @ weight - weight
+    assert (found.count <= true).all()
+    some = true > 0
+    assert not some.any() or (found.count[some] / true[some]).mean() >= 0.99
+
+
+def test_edges_connect_what_links_connect():
+    rng = np.random.default_rng(5)
+    x = unit(np.repeat(rng.normal(size=(40, 16)), 12, axis=0) + 0.12 * rng.normal(size=(480, 16)))
+    found = ask(x, x, np.arange(480))
+    near = x @ x.T >= 0.9
+    label = np.arange(480)
+    for _ in range(480):
+        label = np.where(near, label[None, :], 480).min(axis=1)
+    a, b = star_edges(*(np.concatenate(c) for c in zip(*found.edges, strict=True)))
+    mine = np.arange(480)
+    mine[a] = b
+    assert (mine == label).mean() > 0.99
+
+
+def test_one_large_group(spark):
+    """Thousands of near copies end in seconds, and the audit is reported."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(1000, 48)), rng.normal(size=48) + 0.1 * rng.normal(size=(5000, 48))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    report = []
+    began = time.perf_counter()
+    got = {r.vec_id: r for r in hnsw.near_duplicates(df, report=report).collect()}
+    assert time.perf_counter() - began < 120
+    assert all(got[i].n_links == 4999 and got[i].component_id == 1000 for i in range(1000, 6000))
+    assert not any(got[i].n_links for i in range(1000))
+    assert report[0][1] >= 0.99
