@@ -1,16 +1,20 @@
 """Removal of bytes that lie in a 200-byte string found elsewhere too.
 
-A radix sort of all windows to the depth of 200 bytes, most significant digit first, in three passes:
-
-1. The first digit of a window is the hash of its minimizer, the leftmost smallest hash of its ``GRAM``-byte
-   grams. Windows with one minimizer form an *anchor*: a row for about eighty windows. Equal windows have
-   equal minimizers at equal places, so a digit that only one anchor has is finished.
-2. The second digit is the hash of the anchor's whole stretch of text. Where all anchors of a group agree,
-   all their windows are repeated and the group is finished.
-3. Only groups whose stretches differ are opened: a representative of each class of equal stretches gives its
-   windows, and equal windows are counted over classes.
-
-Groups are never gathered: every pass is an aggregate with a map-side part, or a join that may be split.
+A radix sort of all windows to the depth of 200 bytes, by most-significant-digit passes that go on with groups
+of two or more only; equal groups are exactly the repeated windows. Any order of digits will do as long as it's
+the same for all, so digits are taken from an *anchor* outwards:
+
+1. The first digit of a window is its minimizer, the leftmost smallest hash of its ``GRAM``-byte grams. Windows
+   with one minimizer are one row, an anchor, for about eighty windows. Equal windows have equal minimizers at
+   equal places, so no repeat is lost by taking anchors for windows, and a digit that only one anchor has is done.
+   A group whose anchors all stand in the same stretch of text is done as well: all its windows are repeated.
+2. Groups of many anchors are dealt again by wider digits: their windows are halved by place, and each half takes
+   the bytes that all of its windows hold as its next digit, until groups are small, uniform or single windows.
+3. Small groups are sorted within tasks, byte by byte from the anchor to the right and to the left. Bytes are
+   compared themselves, and what a byte singles out is dropped before the next one.
+
+Groups are never gathered whole: a representative stands for equal stretches, and group sizes come from
+aggregates with a map-side part. Digits of the first two passes are told apart by 64-bit hashes within a group.
 """
 
 from __future__ import annotations
@@ -28,8 +32,12 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 LENGTH, GRAM = 200, 24
-#: Groups of more anchors than this are opened by rows of windows rather than run by run.
-HOT = 200_000
+#: Bytes of a window beside its anchor.
+REST = LENGTH - GRAM
+#: Groups of more anchors than this are dealt again before they are sorted in a task.
+HOT = 2000
+#: Stretches sorted together in a task, at least, if there are so many, and parts of a group's join.
+TOGETHER, PARTS = 8192, 8
 #: Bytes of text worked on at once.
 BLOCK = 1 << 19
 _POS = 20
@@ -37,19 +45,16 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-_BASE2 = 0xC2B2AE3D27D4EB4F
-
-
-@lru_cache(maxsize=2)
-def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(base, -1, 1 << 64)
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    inverse = pow(_BASE, -1, 1 << 64)
     with np.errstate(over="ignore"):
-        return tuple(np.cumprod(np.r_[np.uint64(1), np.full(2 * BLOCK - 1, b, np.uint64)]) for b in (base, inverse))
+        return tuple(np.cumprod(np.r_[np.uint64(1), np.full(2 * BLOCK - 1, b, np.uint64)]) for b in (_BASE, inverse))
 
 
-def _gram_hashes(b: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
+def _gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all k-grams, mixed polynomials modulo 2**64."""
-    up, down = _powers(base)
+    up, down = _powers()
     n = len(b)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
@@ -134,98 +139,117 @@ def _anchor_rows(full: bool):
                 if full:
                     row = np.array(number)[text]
                     base = np.array(offset)[text] - starts[text]
-                    arrays |= {"i": i[row], "h": h[row], "first": (first + base).astype(np.int32), "more": (last - first).astype(np.int32)}
+                    arrays |= {"i": i[row], "h": h[row], "first": (first + base).astype(np.int32), "more": (last - first).astype(np.int32), "rel": (at - first).astype(np.int32)}
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in arrays.values()], names=list(arrays))
 
     return run
 
 
+_CONTEXT = pa.schema([("k", pa.int64()), ("s", pa.int64()), ("n", pa.int64()), ("rel", pa.int32()), ("context", pa.binary()), ("hot", pa.bool_())])
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The stretches of text that are asked for of (text, asked)."""
-    names = ["k", "s", "n", "hot", "context"]
     for batch in batches:
         rows = []
         for text, asked in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows += [(q["k"], q["s"], q["n"], q["hot"], text[q["first"] : q["first"] + q["more"] + LENGTH]) for q in asked]
+            rows += [(q["k"], q["s"], q["n"], q["rel"], text[q["first"] : q["first"] + q["more"] + LENGTH], q["hot"]) for q in asked]
         if rows:
-            columns = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=names)
-
-
-def _window_hashes(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hashes of all windows of the contexts, and which context each belongs to."""
-    owners, hashes = [], []
-    step = max(1, BLOCK // 1024)
-    for at in range(0, len(contexts), step):
-        part = contexts[at : at + step]
-        data = np.frombuffer(b"".join(part), np.uint8)
-        size = np.array([len(c) for c in part])
-        owner, place = np.repeat(np.arange(len(part)), size), np.arange(len(data))
-        whole = place + LENGTH <= np.cumsum(size)[owner]
-        two = np.stack([_gram_hashes(data, LENGTH, b) for b in (_BASE, _BASE2)], axis=1)
-        hashes.append(two[whole[: len(two)]])
-        owners.append(owner[whole] + at)
-    return np.concatenate(hashes), np.concatenate(owners)
-
-
-def _spans(flags: np.ndarray) -> list[int]:
-    """Runs of true flags of consecutive windows as bytes from, to, from, to ..."""
-    edge = np.flatnonzero(np.diff(np.r_[0, flags.view(np.int8), 0]))
-    edge[1::2] += LENGTH - 1
-    return edge.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CONTEXT, strict=True)], schema=_CONTEXT)
 
 
-def repeated_windows(contexts: list[bytes], n: np.ndarray) -> list[list[int]]:
-    """For each context, the spans of it that windows cover which occur twice or more.
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each stretch twice, with halves of its windows lo .. hi, counted by bytes before the anchor.
 
-    ``n``: how many places a context stands for.
+    g: digest of the bytes that all windows of the half hold. u: of all bytes that its windows hold here.
     """
-    two, owner = _window_hashes(contexts)
-    order = np.lexsort((two[:, 1], two[:, 0]))
-    ranked = two[order]
-    group = np.cumsum(np.r_[True, (ranked[1:] != ranked[:-1]).any(axis=1)]) - 1
-    total = np.bincount(group, weights=n[owner[order]])
-    flags = np.empty(len(owner), bool)
-    flags[order] = total[group] >= 2
-    bounds = np.searchsorted(owner, np.arange(len(contexts) + 1))
-    return [_spans(flags[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    digest = xxhash.xxh3_64_intdigest
+    for batch in batches:
+        take, out = [], []
+        for j, (rel, context, lo, hi) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("rel", "context", "lo", "hi")), strict=True)):
+            middle = (lo + hi) // 2
+            for a, b in ((lo, middle), (middle + 1, hi)):
+                x, y = max(a, rel - len(context) + LENGTH), min(b, rel)
+                if x <= y:
+                    take.append(j)
+                    out.append((digest(context[rel - a : rel + LENGTH - b], a << 8 | b), digest(context[rel - y : rel + LENGTH - x], x << 8 | y), a, b))
+        if out:
+            g, u, lo, hi = zip(*out, strict=True)
+            same = [batch.column(c).take(pa.array(take)) for c in ("k", "s", "n", "rel", "context")]
+            made = [pa.array(np.array(g, np.uint64).view(np.int64)), pa.array(np.array(u, np.uint64).view(np.int64)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*same, *made], names=["k", "s", "n", "rel", "context", "g", "u", "lo", "hi"])
+
+
+def _names(data: np.ndarray, places: np.ndarray, step: int, room: np.ndarray, label: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Passes from one byte to the next: for each stretch and number of bytes, a number that all stretches
+    with the same bytes share, or -1 if these stand for fewer than two places."""
+    out, alive, label = np.full((len(places), REST + 1), -1, np.int32), np.arange(len(places)), label.copy()
+    for depth in range(REST + 1):
+        if depth:
+            alive = alive[room[alive] >= depth]
+            label[alive] = label[alive] * 256 + data[places[alive] + step * (depth - 1)]
+        _, name = np.unique(label[alive], return_inverse=True)
+        more = np.bincount(name, weights=n[alive])[name] >= 2 if len(name) else np.empty(0, bool)
+        alive, name = alive[more], name[more]
+        if not len(alive):
+            break
+        label[alive], out[alive, depth] = name, name
+    return out
+
+
+def repeated_windows(contexts: list[bytes], rel: np.ndarray, group: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """For each stretch, the spans that windows cover which occur twice or more: from, to, from, to ..., counted
+    from the anchor.
+
+    rel: place of the anchor. group: only stretches of one group are compared. n: how many places a stretch
+    stands for. lo, hi: bytes before the anchor of the windows looked at.
+    """
+    size = np.array([len(c) for c in contexts], np.int64)
+    data = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64)
+    at = np.cumsum(size) - size + rel
+    _, label = np.unique(group, return_inverse=True)
+    right = _names(data, at + GRAM, 1, size - rel - GRAM, label, n)
+    left = _names(data, at - 1, -1, rel, label, n)
+    low, high = np.maximum(lo, rel - size + LENGTH), np.minimum(hi, rel)
+    flags = np.zeros((len(contexts), REST + 3), np.int8)
+    for before in range(REST + 1):
+        x, y = left[:, before], right[:, REST - before]
+        some = np.flatnonzero((x >= 0) & (y >= 0) & (low <= before) & (before <= high))
+        if len(some):
+            _, name = np.unique(x[some].astype(np.int64) << 32 | y[some], return_inverse=True)
+            flags[some, before + 1] = np.bincount(name, weights=n[some])[name] >= 2
+    # a run of windows with a to b bytes before the anchor covers the bytes from -b to LENGTH - a
+    change = np.diff(flags, axis=1)
+    row, begin = np.nonzero(change == 1)
+    end = np.nonzero(change == -1)[1] - 1
+    spans = np.stack([-end, LENGTH - begin], axis=1)
+    bounds = np.searchsorted(row, np.arange(len(contexts) + 1))
+    return [spans[a:b].ravel() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of the classes of each group, over partitions sorted by group."""
+    """(k, s, spans) of the stretches (k, s, n, rel, context, g, lo, hi) of whole groups, sorted by group."""
 
     def of(rows: dict) -> pa.RecordBatch:
-        """Groups are told apart by their windows: windows of two groups are never equal."""
-        keys = list(rows)
-        spans = repeated_windows([rows[x][1] for x in keys], np.array([rows[x][0] for x in keys])) if keys else []
-        some = [(k, s, x) for (k, s), x in zip(keys, spans, strict=True) if x]
+        spans = []
+        if rows:
+            n, rel, context, lo, hi = zip(*rows.values(), strict=True)
+            spans = repeated_windows(list(context), *map(np.array, (rel, [g for g, _, _ in rows], n, lo, hi)))
+        some = [(k, s, x) for (_, k, s), x in zip(rows, spans, strict=True) if len(x)]
         columns = list(zip(*some, strict=True)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int32()))], names=["k", "s", "spans"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=["k", "s", "spans"])
 
     held, last = {}, None
     for batch in batches:
-        for k, s, n, context in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-            if k != last and len(held) >= 4096:
+        for g, k, s, *row in zip(*(batch.column(c).to_pylist() for c in ("g", "k", "s", "n", "rel", "context", "lo", "hi")), strict=True):
+            if g != last and len(held) >= TOGETHER:
                 yield of(held)
                 held = {}
-            last = k
-            held[k, s] = (n, context)
+            last = g
+            held[g, k, s] = row  # repeated rows of the input ask twice
     yield of(held)
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of (k, s, n, context)."""
-    for batch in batches:
-        for at in range(0, len(batch), 512):
-            part = batch.slice(at, 512)
-            two, owner = _window_hashes(part.column(3).to_pylist())
-            start = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
-            place = np.arange(len(owner)) - np.repeat(start, np.diff(np.r_[start, len(owner)]))
-            k, s, n = (part.column(c).to_numpy()[owner] for c in range(3))
-            two = two.view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (k, s, n, place.astype(np.int32), two[:, 0].copy(), two[:, 1].copy())], names=["k", "s", "n", "place", "w1", "w2"])
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removes the spans of (id, text, spans) and describes what is left."""
     for batch in batches:
@@ -233,7 +257,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, spans in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
             end, kept, runs, removed = 0, [], 0, 0
             merged: list[list[int]] = []
-            for a, b in sorted((x["a"], x["b"]) for x in spans or ()):
+            for a, b in sorted({(x["at"] + a, x["at"] + b) for x in spans or () for a, b in zip(x["spans"][::2], x["spans"][1::2], strict=True)}):
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(b, merged[-1][1])
                 else:
@@ -249,29 +273,49 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _settled(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k, s, spans) of the stretches of large groups: k, s, n, rel, context, lo, hi."""
+    answers = []
+    wide = "k long, s long, n long, rel int, context binary, g long, u long, lo int, hi int"
+    while members is not None:
+        level = scratch.save(members.mapInArrow(_halves, wide), "halves")
+        groups = level.groupBy("g").agg(F.sum("n").alias("t"), F.min("u").alias("u0"), F.max("u").alias("u1"), F.count(F.lit(1)).alias("c")).where("t > 1")
+        groups = groups.select("g", "u0", "u1", "c", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+        level = scratch.save(level.withColumn("part", F.pmod("u", F.lit(PARTS)).cast("int")).join(groups, ["g", "part"]), "groups")
+        spans = F.array(-F.least("hi", "rel"), LENGTH - F.greatest("lo", F.col("rel") - F.octet_length("context") + LENGTH))
+        answers.append(level.where("u0 = u1").select("k", "s", spans.cast("array<int>").alias("spans")))
+        mixed = level.where("u0 <> u1").select(*[x.split()[0] for x in wide.split(", ")], "c")
+        few = mixed.where(F.col("c") <= HOT).repartition("g").sortWithinPartitions("g")
+        answers.append(few.select("k", "s", "n", "rel", "context", "g", "lo", "hi").mapInArrow(_answers, "k long, s long, spans array<int>"))
+        rest = mixed.where(F.col("c") > HOT)
+        members = rest if rest.limit(1).count() else None
+    out = answers[0]
+    for more in answers[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def repeated_spans(keyed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(i, h, a, b): spans of bytes, which may overlap, that repeated windows cover in the texts of (i, h, text)."""
+    """(i, h, at, spans): spans of bytes from ``at``, which may overlap, that repeated windows cover in the
+    texts of (i, h, text)."""
     seen = keyed.mapInArrow(_anchor_rows(False), "k long, s long")
     kinds = seen.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("c > 1")
     kinds = scratch.save(kinds.select("k", (F.col("lo") != F.col("hi")).alias("mixed"), (F.col("c") > HOT).alias("hot")), "digits")
-    rows = keyed.mapInArrow(_anchor_rows(True), "k long, s long, i long, h long, first int, more int")
+    rows = keyed.mapInArrow(_anchor_rows(True), "k long, s long, i long, h long, first int, more int, rel int")
     rows = scratch.save(rows.join(kinds, "k"), "anchors")
-    whole = rows.where("NOT mixed").select("i", "h", F.col("first").alias("a"), (F.col("first") + F.col("more") + LENGTH).alias("b"))
+    whole = rows.where("NOT mixed").select("i", "h", F.col("first").alias("at"), F.array(F.lit(0), F.col("more") + LENGTH).alias("spans"))
     mixed = rows.where("mixed")
-    classes = mixed.groupBy("k", "s").agg(F.count(F.lit(1)).alias("n"), F.first("hot").alias("hot"), F.min(F.struct("i", "h", "first", "more")).alias("r"))
-    asked = classes.select("r.i", "r.h", F.struct("k", "s", "n", "hot", "r.first", "r.more").alias("q")).groupBy("i", "h").agg(F.collect_list("q").alias("asked"))
-    contexts = keyed.join(asked, ["i", "h"]).select("text", "asked").mapInArrow(_contexts, "k long, s long, n long, hot boolean, context binary")
-    contexts = scratch.save(contexts, "contexts")
-    cold = contexts.where("NOT hot").select("k", "s", "n", "context").repartition("k").sortWithinPartitions("k")
+    classes = mixed.groupBy("k", "s").agg(F.count(F.lit(1)).alias("n"), F.first("hot").alias("hot"), F.min(F.struct("i", "h", "first", "more", "rel")).alias("r"))
+    asked = classes.select("r.i", "r.h", F.struct("k", "s", "n", "hot", "r.first", "r.more", "r.rel").alias("q")).groupBy("i", "h").agg(F.collect_list("q").alias("asked"))
+    contexts = keyed.join(asked, ["i", "h"]).select("text", "asked").mapInArrow(_contexts, "k long, s long, n long, rel int, context binary, hot boolean")
+    contexts = scratch.save(contexts.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(REST)), "contexts")
+    cold = contexts.where("NOT hot").select("k", "s", "n", "rel", "context", F.col("k").alias("g"), "lo", "hi").repartition("g").sortWithinPartitions("g")
     answers = cold.mapInArrow(_answers, "k long, s long, spans array<int>")
-    windows = contexts.where("hot").dropDuplicates(["k", "s"]).select("k", "s", "n", "context").mapInArrow(_window_rows, "k long, s long, n long, place int, w1 long, w2 long")
-    again = windows.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1")
-    hot = windows.join(again, ["w1", "w2"]).groupBy("k", "s").agg(F.flatten(F.collect_list(F.array("place", F.col("place") + LENGTH))).alias("spans"))
-    answers = answers.unionByName(hot)
-    part = mixed.select("k", "s", "i", "h", "first").join(answers, ["k", "s"])
-    pairs = F.transform(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)), lambda x: F.struct(F.get("spans", x).alias("a"), F.get("spans", x + 1).alias("b")))
-    part = part.where(F.size("spans") > 0).select("i", "h", "first", F.explode(pairs).alias("p")).select("i", "h", (F.col("first") + F.col("p.a")).alias("a"), (F.col("first") + F.col("p.b")).alias("b"))
-    return whole.unionByName(part)
+    hot = contexts.where("hot").drop("hot")
+    if hot.limit(1).count():
+        answers = answers.unionByName(_settled(hot.dropDuplicates(["k", "s"]), scratch))
+    part = mixed.select("k", "s", "i", "h", (F.col("first") + F.col("rel")).alias("at")).join(answers, ["k", "s"])
+    return whole.unionByName(part.select("i", "h", "at", "spans"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -285,7 +329,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = scratch or Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("i"), F.xxhash64(text).alias("h"), text.alias("text"))
-    spans = repeated_spans(keyed, scratch).groupBy("i", "h").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = repeated_spans(keyed, scratch).groupBy("i", "h").agg(F.collect_list(F.struct("at", "spans")).alias("spans"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("i"), F.xxhash64(text).alias("h"), text.alias("text"))
     rows = texts.join(spans, ["i", "h"], "left").select("id", "text", "spans")
     out = rows.mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")

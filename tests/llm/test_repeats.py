@@ -47,6 +47,51 @@ def test_hot_groups_give_the_same(make_docs, monkeypatch):
     assert result(repeats.without_repeats(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_a_common_passage_in_many_places(make_docs):
+    """Groups beyond the limit as it is: near copies with changes all over, periods, one line everywhere."""
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    line, text = word(190), word(700)
+    docs = [word(20) + line + word(20) for _ in range(1500)] + [word(60) + line + "same end of it " + word(9) for _ in range(700)]
+    for _ in range(1200):
+        at = int(rng.integers(0, 700))
+        docs.append(text[:at] + word(1) + text[at + 1 :])
+    docs += ["abc" * 400, "abc" * 2600]
+    df = make_docs([(i, t, "s") for i, t in enumerate(docs)])
+    assert result(repeats.without_repeats(df)) == brute(list(enumerate(docs)))
+
+
+def test_windows_of_a_group():
+    """The sort of a task against counting windows."""
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        base = bytes(rng.integers(97, 100, 500, dtype=np.uint8))
+        contexts, rel, n = [], [], []
+        for _ in range(int(rng.integers(1, 12))):
+            a, b = int(rng.integers(0, 170)), int(rng.integers(0, 170))
+            c = bytearray(base[200 - a : 240 + max(b, repeats.LENGTH - 40 - a)])
+            for _ in range(int(rng.integers(0, 3))):
+                x = int(rng.integers(0, len(c)))
+                if not a <= x < a + repeats.GRAM:
+                    c[x] = 33
+            contexts.append(bytes(c[: repeats.LENGTH + a]))
+            rel.append(a)
+            n.append(int(rng.integers(1, 3)))
+        seen = Counter()
+        for c, r, m in zip(contexts, rel, n, strict=True):
+            for p in range(max(0, r - repeats.REST), min(r, len(c) - repeats.LENGTH) + 1):
+                seen[r - p, c[p : p + repeats.LENGTH]] += m
+        zero = np.zeros(len(n), int)
+        got = repeats.repeated_windows(contexts, np.array(rel), zero, np.array(n), zero, zero + repeats.REST)
+        for c, r, spans in zip(contexts, rel, got, strict=True):
+            covered = {q for a, b in zip(spans[::2].tolist(), spans[1::2].tolist(), strict=True) for q in range(r + a, r + b)}
+            true = set()
+            for p in range(max(0, r - repeats.REST), min(r, len(c) - repeats.LENGTH) + 1):
+                if seen[r - p, c[p : p + repeats.LENGTH]] > 1:
+                    true.update(range(p, p + repeats.LENGTH))
+            assert covered == true
+
+
 def test_long_texts_are_cut_with_an_overlap(make_docs, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK", 1 << 10)
     repeats._powers.cache_clear()
