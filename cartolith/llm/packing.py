@@ -1,9 +1,9 @@
 """Packing by lexical retrieval: each window is filled with the neighbours of its seed document.
 
 Every shard of documents gets a BM25 inverted index of its own over token ids. The first unused document
-is the seed; its unused neighbours by score fill the window, whole ones first. What is left of the window
-is filled by cutting the best neighbour that remains, whose rest seeds the next window, so windows are
-full. The end of a partition is cut into sequences of powers of two, which need no padding.
+is the seed; its unused neighbours by score over all of its terms fill the window, whole ones first. What is
+left of the window is filled by cutting the best neighbour that remains, whose rest seeds the next window, so
+windows are full. A window left open by one shard goes on with its seed's neighbours in the next. The end of a partition is cut into sequences of powers of two, which need no padding.
 One pass over the texts: nothing is shuffled, and a lost task is redone from its input.
 """
 
@@ -24,8 +24,8 @@ from .tokens import ByteEncoder, _per_worker, vocabulary_path
 WINDOW, END = 2048, 1
 #: A shard is closed when it holds so many documents or tokens.
 SHARD_DOCS, SHARD_TOKENS = 2048, 2_500_000
-#: A seed is searched by its terms of highest weight.
-QUERY_TERMS, NEIGHBOURS = 12, 48
+#: Neighbours that are ranked at once; when these are used up, the next ones are.
+NEIGHBOURS = 48
 K1, B = 1.2, 0.75
 #: Pieces of an output batch.
 ROWS = 1024
@@ -48,30 +48,27 @@ class Index:
         self.df = np.bincount(term)
         idf = np.log1p((len(ids) - self.df + 0.5) / (self.df + 0.5))
         weight = (idf[term] * n * (K1 + 1) / (n + norm[doc])).astype(np.float32)
-        bounds = np.cumsum([0, *map(len, terms)])
-        # terms of one document only find nothing else
-        self.query = []
-        for i in range(len(ids)):
-            t, w = terms[i], weight[bounds[i] : bounds[i + 1]]
-            some = self.df[t] > 1
-            t, w = t[some], w[some]
-            self.query.append(t[np.argpartition(w, len(w) - QUERY_TERMS)[-QUERY_TERMS:]] if len(w) > QUERY_TERMS else t)
+        self.terms = terms
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.at = np.concatenate([[0], np.cumsum(self.df)])
         self.n = len(ids)
 
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share terms with the seed, best first, ties by position."""
-        score = np.zeros(self.n, np.float32)
-        for t in self.query[seed].tolist():
-            span = slice(self.at[t], self.at[t + 1])
-            score[self.doc[span]] += self.weight[span]
+    def neighbours(self, terms: np.ndarray, used: np.ndarray) -> np.ndarray:
+        """The best unused documents that share terms, best first, ties by position."""
+        terms = terms[terms < len(self.df)]
+        size = self.df[terms]
+        ends = np.cumsum(size)
+        if not len(ends) or not ends[-1]:
+            return np.empty(0, np.int64)
+        at = np.arange(ends[-1]) + np.repeat(self.at[terms] - (ends - size), size)
+        score = np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
         score[used] = 0
         found = np.flatnonzero(score)
         if len(found) > NEIGHBOURS:
-            found = found[np.argpartition(-score[found], NEIGHBOURS)[:NEIGHBOURS]]
-        return found[np.lexsort((found, -score[found]))]
+            least = np.partition(score[found], len(found) - NEIGHBOURS)[len(found) - NEIGHBOURS]
+            found = found[score[found] >= least]
+        return found[np.lexsort((found, -score[found]))][:NEIGHBOURS]
 
 
 class Packer:
@@ -83,6 +80,7 @@ class Packer:
         self.rows: list[tuple] = []
         self.open: list[tuple] = []  # (doc_id, ids, start, length) of the window being filled
         self.room = window
+        self.seed = np.empty(0, np.uint32)  # terms of the document that the open window began with
 
     def _piece(self, doc_id, ids: np.ndarray, start: int, length: int, offset: int) -> None:
         part = ids[start : start + length]
@@ -108,37 +106,43 @@ class Packer:
                 self._close()
 
     def shard(self, doc_ids: list, ids: list[np.ndarray]) -> None:
+        """Puts all documents of a shard. A window that is still open goes on with neighbours of its seed."""
         index, used, lengths = Index(ids), np.zeros(len(ids), bool), np.array([len(x) for x in ids])
         following = 0
-        seed = -1
+
+        def take(j: int) -> None:
+            used[j] = True
+            if self.room == self.window or lengths[j] > self.room:  # the last window opened begins with it
+                self.seed = index.terms[j]
+            self.put(doc_ids[j], ids[j])
+
         while True:
-            if seed < 0:
+            if self.room == self.window:
                 while following < len(ids) and used[following]:
                     following += 1
                 if following == len(ids):
                     return
-                seed = following
-                used[seed] = True
-                self.put(doc_ids[seed], ids[seed])
-            if self.room == self.window:  # the seed ended with its window
-                seed = -1
+                take(following)
                 continue
-            found = index.neighbours(seed, used)
+            found = index.neighbours(self.seed, used)
             rest = []
             for j in found.tolist():
                 if lengths[j] <= self.room:
-                    used[j] = True
-                    self.put(doc_ids[j], ids[j])
+                    take(j)
                     if self.room == self.window:
                         break
                 else:
                     rest.append(j)
-            if self.room < self.window and rest:  # cut the best that is left; its rest is the next seed
-                seed = rest[0]
-                used[seed] = True
-                self.put(doc_ids[seed], ids[seed])
-            else:
-                seed = -1
+            if self.room == self.window or not rest and len(found):
+                continue
+            if rest:  # cut the best that is left; its rest is the next seed
+                take(rest[0])
+                continue
+            while following < len(ids) and used[following]:  # no neighbour is left
+                following += 1
+            if following == len(ids):
+                return
+            take(following)
 
     def finish(self) -> None:
         """Cuts the last window, if it isn't full, into sequences whose lengths are powers of two."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import re
 import struct
 from collections.abc import Callable, Iterator
 
@@ -21,8 +22,8 @@ from .common import bounded_batches, text_of, words_of
 
 #: Most frequent words in the broadcast table, words that the sketch tracks, longest word in it.
 TOP_WORDS, TRACKED, LONGEST = 20_000, 65_536, 40
-#: Words in one of the two generations of a worker's cache.
-CACHE_WORDS = 250_000
+#: Words in one of the two generations of a worker's cache, and bytes of a word that is kept, at most.
+CACHE_WORDS, CACHED_BYTES = 250_000, 64
 LIMIT = 2048
 
 
@@ -54,6 +55,8 @@ class WordCache(dict):
         value = self.old.get(word)
         if value is None:
             value = self.encode(word)
+            if len(word) > CACHED_BYTES:
+                return value
         if len(self) >= CACHE_WORDS + len(self.known):
             self.old = dict(self)
             self.clear()
@@ -133,6 +136,10 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 #: Runs of ASCII white space other than single blanks and line ends, which bind their neighbours.
 _BOUND = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
+#: White space beyond ASCII, which the cutting pattern joins with a blank or line end beside it; how its bytes begin.
+_WIDE = "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_WIDE_BYTES = tuple({c.encode()[:2] for c in _WIDE})
+_BESIDE = re.compile("[ \n](?:{0})|(?:{0})[ \n]".format("|".join(_WIDE)).encode())
 
 
 #: How the byte-level pre-tokenizer cuts text.
@@ -198,7 +205,7 @@ class ByteEncoder:
     def __call__(self, text: bytes) -> bytes:
         if not text:
             return b""
-        if text[0] in b" \n" or text[-1] in b" \n" or any(map(text.__contains__, _BOUND)):
+        if text[0] in b" \n" or text[-1] in b" \n" or any(map(text.__contains__, _BOUND)) or any(map(text.__contains__, _WIDE_BYTES)) and _BESIDE.search(text):
             return encode(self.tokenizer, text.decode("utf-8", "replace"))
         first, after, lines = self.first.__getitem__, self.next.__getitem__, []
         for line in text.split(b"\n"):

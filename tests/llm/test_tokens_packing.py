@@ -61,9 +61,41 @@ def test_index_finds_the_document_that_shares_words():
     index = packing.Index(docs)
     used = np.zeros(40, bool)
     used[4] = True
-    assert index.neighbours(4, used)[0] == 31
+    assert index.neighbours(index.terms[4], used)[0] == 31
     used[31] = True
-    assert 31 not in index.neighbours(4, used)
+    assert 31 not in index.neighbours(index.terms[4], used)
+
+
+def test_neighbours_against_plain_bm25():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 300, int(rng.integers(1, 90))).astype("<u4") for _ in range(150)]
+    index, used, mean = packing.Index(docs), rng.random(150) < 0.3, np.mean([len(d) for d in docs])
+    df = {t: sum(t in d for d in docs) for t in range(300)}
+    for seed in range(0, 150, 7):
+        score = {}
+        for j, d in enumerate(docs):
+            for t in set(docs[seed].tolist()) & set(d.tolist()):
+                n = (d == t).sum()
+                idf = np.log1p((150 - df[t] + 0.5) / (df[t] + 0.5))
+                score[j] = score.get(j, 0) + idf * n * (packing.K1 + 1) / (n + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+        best = sorted((j for j in score if not used[j]), key=lambda j: -score[j])[: packing.NEIGHBOURS]
+        got = index.neighbours(index.terms[seed], used)
+        np.testing.assert_allclose([score[j] for j in got], [score[j] for j in best], rtol=1e-5)
+
+
+def test_windows_go_on_with_neighbours():
+    """More small neighbours than are ranked at once, across two shards, before anything else."""
+    rng = np.random.default_rng(3)
+    like = [np.concatenate([[7, 8, 9], rng.integers(1000, 2000, 9)]).astype("<u4") for _ in range(160)]
+    other = [rng.integers(5000, 9000, 12).astype("<u4") for _ in range(160)]
+    docs = [x for pair in zip(like, other, strict=True) for x in pair]
+    packer = packing.Packer(0)
+    packer.shard(list(range(240)), docs[:240])
+    packer.shard(list(range(240, 320)), docs[240:])
+    packer.finish()
+    first = [r[0] for r in packer.rows if r[5] == 0]
+    assert sum(i % 2 == 0 for i in first[:120]) == 120
+    assert sorted(r[0] for r in packer.rows if r[1] == 0) == list(range(320))
 
 
 def counts(docs):
@@ -98,3 +130,15 @@ def test_ranks_give_the_ids_of_the_tokenizer(spark):
     for w in sorted(words):
         assert fast.encode_ordinary(" " + w) == tokenizer.encode(" " + w, add_special_tokens=False).ids
     assert tokens.rank_encoder(tokens.vocabulary_path("word_bpe_49k.json")) is None
+
+
+def test_ids_of_many_strings():
+    """White space of all kinds beside words, blanks and line ends: no string differs from the tokenizer."""
+    rng = np.random.default_rng(4)
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    encoder = tokens.ByteEncoder(path)
+    pieces = ["a", "é", "9", "'s", "!", "你", " ", " ", "\n", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\u200b", "\ufeff", "<|endoftext|>"]
+    texts = ["".join(pieces[k] for k in rng.integers(0, len(pieces), int(rng.integers(1, 8)))) for _ in range(150_000)]
+    texts += [a + b + c for a in pieces for b in pieces for c in pieces]
+    want = tokens.load_tokenizer(path).encode_batch(texts, add_special_tokens=False)
+    assert not [t for t, w in zip(texts, want, strict=True) if encoder(t.encode()) != np.array(w.ids, "<u4").tobytes()]
