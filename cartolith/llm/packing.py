@@ -26,6 +26,8 @@ WINDOW, END = 2048, 1
 SHARD_DOCS, SHARD_TOKENS = 2048, 2_500_000
 #: Neighbours that are ranked at once; when these are used up, the next ones are.
 NEIGHBOURS = 48
+#: Terms that one of so many documents holds or more have dense lists.
+DENSE = 16
 K1, B = 1.2, 0.75
 #: Pieces of an output batch.
 ROWS = 1024
@@ -48,21 +50,32 @@ class Index:
         self.df = np.bincount(term)
         idf = np.log1p((len(ids) - self.df + 0.5) / (self.df + 0.5))
         weight = (idf[term] * n * (K1 + 1) / (n + norm[doc])).astype(np.float32)
-        self.terms = terms
+        self.terms, self.n = terms, len(ids)
+        # lists of terms that many documents hold are rows of a matrix
+        common = self.df * DENSE >= max(1, self.n)
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        self.dense = np.zeros((int(common.sum()), self.n), np.float32)
+        inside = common[term]
+        self.dense[self.row[term[inside]], doc[inside]] = weight[inside]
+        term, doc, weight = term[~inside], doc[~inside], weight[~inside]
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.at = np.concatenate([[0], np.cumsum(self.df)])
-        self.n = len(ids)
+        self.doc, self.weight = doc[order].astype(np.intp), weight[order].astype(float)
+        self.size = np.where(common, 0, self.df)
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
 
     def neighbours(self, terms: np.ndarray, used: np.ndarray) -> np.ndarray:
         """The best unused documents that share terms, best first, ties by position."""
         terms = terms[terms < len(self.df)]
-        size = self.df[terms]
+        size = self.size[terms]
         ends = np.cumsum(size)
-        if not len(ends) or not ends[-1]:
+        if not len(terms):
             return np.empty(0, np.int64)
-        at = np.arange(ends[-1]) + np.repeat(self.at[terms] - (ends - size), size)
-        score = np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
+        at = np.repeat(self.at[terms] - (ends - size), size)
+        at += np.arange(len(at))
+        score = np.bincount(self.doc.take(at), weights=self.weight.take(at), minlength=self.n).astype(np.float32)
+        row = self.row[terms]
+        for r in row[row >= 0].tolist():
+            score += self.dense[r]
         score[used] = 0
         found = np.flatnonzero(score)
         if len(found) > NEIGHBOURS:
