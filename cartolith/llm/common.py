@@ -100,6 +100,15 @@ def ascii_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def simhash_bits(h: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes."""
+    h, ones = np.asarray(h, "<u8"), np.zeros(64, np.int64)
+    for i in range(0, len(h), 65536):
+        part = h[i : i + 65536]
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+
+
 # --- connected components -------------------------------------------------------------------------
 
 

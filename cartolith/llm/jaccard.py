@@ -1,4 +1,4 @@
-"""Near-duplicates by exact Jaccard similarity of the sets of word shingles.
+"""What SimHash near-duplicates leave to be found: exact Jaccard similarity of the sets of word shingles.
 
 Prefix filter: with the shingles of all sets in one order, two sets of similarity t share a shingle among
 the first n - ceil(t n) + 1 of each. The order is by hash, with the most common shingles last, so most
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_words, components, row_hashes
+from .common import Scratch, ascii_words, components, simhash_bits
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 #: One document of so many is counted for the order; shingles of so many of these go last, and at most
@@ -75,25 +75,26 @@ def common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _prefixes(shingle: int, ratio: Fraction, common) -> Callable:
-    """Adds to each row the digest and the size of its set, and the shingles of its prefix."""
+    """Adds to each row the digest, size and fingerprint of its set, and the shingles of its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = common.value
         for batch in batches:
-            d1, d2, sizes, prefixes = [], [], [], []
+            d1, d2, sizes, prints, prefixes = [], [], [], [], []
             for text in batch.column(3):
                 s = shingles(text.as_py(), shingle)
                 whole = xxhash.xxh3_128_intdigest(s.tobytes())
                 d1.append(whole >> 64)
                 d2.append(whole & (1 << 64) - 1)
                 sizes.append(len(s))
+                prints.append(simhash_bits(s))
                 late = np.zeros(len(s), bool)
                 if len(last):
                     late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                 n = len(s) - -(-ratio.numerator * len(s) // ratio.denominator) + 1 if len(s) else 0
                 prefixes.append(np.concatenate([s[~late], s[late]])[:n])
-            arrays = [*batch.columns[:3], *(pa.array(np.array(d, np.uint64).view(np.int64)) for d in (d1, d2)), pa.array(sizes, pa.int64()), _lists(prefixes)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "h1", "h2", "d1", "d2", "size", "prefix"])
+            arrays = [*batch.columns[:3], *(pa.array(np.array(d, np.uint64).view(np.int64)) for d in (d1, d2, prints)), pa.array(sizes, pa.int64()), _lists(prefixes)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "h1", "h2", "d1", "d2", "print", "size", "prefix"])
 
     return run
 
@@ -185,8 +186,9 @@ def _across(ratio: Fraction, turn: int | None) -> Callable:
     return run
 
 
-def _links(nodes: DataFrame, texts: DataFrame, shingle: int, ratio: Fraction, scratch: Scratch) -> DataFrame:
-    """(node, component) of the nodes that have a link. ``texts``: h1, h2, text."""
+def completed(nodes: DataFrame, texts: DataFrame, also: DataFrame, shingle: int, ratio: Fraction, scratch: Scratch) -> DataFrame:
+    """(node, component) of the nodes that have a link. ``texts``: h1, h2, text. ``also``: (a, b), a < b, of
+    more pairs to verify; those that connect large groups save rounds."""
     keys = nodes.select(F.explode("prefix").alias("key"), "node", "size").repartition("key").sortWithinPartitions("key")
     found = scratch.save(keys.mapInArrow(_short_runs(ratio), "key long, a long, b long, size long"), "buckets")
     large = found.where("key IS NOT NULL").select("key", F.col("a").alias("node"), "size")
@@ -200,7 +202,7 @@ def _links(nodes: DataFrame, texts: DataFrame, shingle: int, ratio: Fraction, sc
         rest = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
         return scratch.save(both.where(F.size(F.array_intersect("pa", "pb")) + rest >= need).select("a", "b"), name)
 
-    first = possible(found.where("key IS NULL").select("a", "b"), "pairs")
+    first = possible(found.where("key IS NULL").select("a", "b").unionByName(also), "pairs")
     wanted = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
     wanted = nodes.select("node", F.col("least.h1").alias("h1"), F.col("least.h2").alias("h2")).join(wanted, "node")
     chosen = texts.join(wanted, ["h1", "h2"]).select("node", "text").dropDuplicates(["node"])
@@ -222,27 +224,19 @@ def _links(nodes: DataFrame, texts: DataFrame, shingle: int, ratio: Fraction, sc
     return member
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, scratch: Scratch | None = None) -> DataFrame:
-    """One row of each component of documents linked by similarity, all columns of the input.
-
-    The row with the smallest id is kept, nulls first, and of rows with equal ids the one with the
-    smallest hash. Null and empty texts are one component. Rows are told apart by all of their columns,
-    so ids may be null or repeat.
-    """
+def fraction(similarity: float) -> Fraction:
     ratio = Fraction(str(similarity))
     if not 0 < ratio <= 1:
         raise ValueError("similarity must be above 0 and 1 at most")
-    spark, names = docs.sparkSession, docs.columns
-    scratch = scratch or Scratch(spark)
-    h1, h2 = row_hashes(names)
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), h1.alias("h1"), h2.alias("h2"), F.col(text_col).cast("string").alias("text"))
-    common = spark.sparkContext.broadcast(common_shingles(texts.select("text"), shingle))
-    rows = texts.mapInArrow(_prefixes(shingle, ratio, common), f"id {kind}, h1 long, h2 long, d1 long, d2 long, size long, prefix array<long>")
-    nodes = rows.groupBy("d1", "d2").agg(F.min(F.struct("id", "h1", "h2")).alias("least"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    nodes = scratch.save(nodes.select(F.monotonically_increasing_id().alias("node"), "least", "size", "prefix"), "nodes")
-    member = _links(nodes, texts.drop("id"), shingle, ratio, scratch)
-    named = nodes.select("node", "least").join(member, "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("least").alias("kept"))
-    kept = named.select(F.col("kept.h1").alias("_h1"), F.col("kept.h2").alias("_h2"))
-    keyed = docs.select(h1.alias("_h1"), h2.alias("_h2"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"))
-    return keyed.join(kept, ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"]).select("_row.*")
+    return ratio
+
+
+def classes(texts: DataFrame, shingle: int, ratio: Fraction, scratch: Scratch) -> DataFrame:
+    """(node, least, size, print, prefix) of each distinct set of shingles. ``texts``: id, h1, h2, text.
+    least: the first of its rows by id and hashes."""
+    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts.select("text"), shingle))
+    kind = texts.schema["id"].dataType.simpleString()
+    rows = texts.mapInArrow(_prefixes(shingle, ratio, common), f"id {kind}, h1 long, h2 long, d1 long, d2 long, print long, size long, prefix array<long>")
+    firsts = [F.first(c).alias(c) for c in ("size", "print", "prefix")]
+    nodes = rows.groupBy("d1", "d2").agg(F.min(F.struct("id", "h1", "h2")).alias("least"), *firsts)
+    return scratch.save(nodes.select(F.monotonically_increasing_id().alias("node"), "least", "size", "print", "prefix"), "nodes")

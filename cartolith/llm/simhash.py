@@ -1,9 +1,13 @@
-"""SimHash near-duplicates by multi-index hashing.
+"""SimHash near-duplicates by multi-index hashing, and their completion to a similarity of shingle sets.
 
 Distinct fingerprints are split into segments. By the pigeonhole rule two fingerprints within
 ``distance`` differ by at most ``distance // segments`` bits in some segment, so each enumerates a small
 Hamming ball of every segment and is put in the buckets of these values. Rows of a bucket are compared
 over the whole fingerprint as sorted runs; a run gives the edges of a spanning forest, never all pairs.
+
+``one_of_each`` asks for a similarity of shingle sets. Sets of similarity 0.8 differ by some ten bits of 64,
+far beyond any radius that can be enumerated, so fingerprints give the close pairs, which hold large groups
+together, and ``jaccard`` the rest; all pairs are verified by their sets.
 """
 
 from __future__ import annotations
@@ -16,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_words, components, row_hashes, spanning_edges
+from . import jaccard
+from .common import Scratch, ascii_words, components, row_hashes, simhash_bits, spanning_edges
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Up to so many distinct fingerprints three segments keep buckets small; beyond, two of 32 bits.
@@ -37,11 +42,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     starts, ends = (ends - size)[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)], dtype="<u8")
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 65536):
-        part = h[i : i + 65536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
+    return simhash_bits(h)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,6 +134,14 @@ def _linked_runs(distance: int) -> Callable:
     return run
 
 
+def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b): pairs of the distinct fingerprints that connect all those within the distance."""
+    if not 0 <= distance <= 5:
+        raise ValueError("distance must be 0 to 5")
+    buckets = prints.mapInArrow(_probes(segments(prints.count())), "key long, print long")
+    return buckets.repartition("key").sortWithinPartitions("key").mapInArrow(_linked_runs(distance), "a long, b long")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, scratch: Scratch | None = None) -> DataFrame:
     """(id, fingerprint, component_id) of every row.
 
@@ -140,35 +149,35 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     each. Null ids stay rows and take part in links, but never name a component. Empty tables give none.
     ``distance`` at most 5, the most that both divisions into segments find.
     """
-    if not 0 <= distance <= 5:
-        raise ValueError("distance must be 0 to 5")
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     prints = scratch.save(fingerprints(docs, id_col, text_col), "prints")
     nodes = scratch.save(prints.groupBy("print").agg(F.min("id").alias("least")), "nodes")
-    parts = segments(nodes.count())
-    buckets = nodes.select("print").mapInArrow(_probes(parts), "key long, print long")
-    runs = buckets.repartition("key").sortWithinPartitions("key")
-    member = components(runs.mapInArrow(_linked_runs(distance), "a long, b long"), scratch)
+    member = components(links(nodes.select("print"), distance), scratch)
     named = nodes.join(member, nodes["print"] == member["node"], "left").select("print", "least", F.coalesce("component", "print").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.save(named.join(roots, "root").select("print", "component_id"), "classes")
     return prints.join(named, "print").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, all columns of the input.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = jaccard.SHINGLE, similarity: float = jaccard.SIMILARITY, distance: int = DISTANCE, scratch: Scratch | None = None) -> DataFrame:
+    """One row of each component of documents linked by the similarity of shingle sets, all columns of the input.
 
     The row with the smallest id is kept, nulls first, and of rows with equal ids the one with the
-    smallest hash. Rows are told apart by all of their columns, so ids may be null or repeat.
+    smallest hash. Null and empty texts are one component. Rows are told apart by all of their columns,
+    so ids may be null or repeat.
     """
-    scratch, names = Scratch(docs.sparkSession), docs.columns
+    ratio, names = jaccard.fraction(similarity), docs.columns
+    scratch = scratch or Scratch(docs.sparkSession)
     h1, h2 = row_hashes(names)
-    slim = docs.select(F.col(id_col).alias("id"), h1.alias("h1"), h2.alias("h2"), F.col(text_col).alias("text"))
-    rows = slim.select(F.struct("id", "h1", "h2").alias("at"), F.col("text").cast("string").alias("text"))
-    places = scratch.save(rows.groupBy("at").agg(F.first("text").alias("text")).withColumn("place", F.monotonically_increasing_id()), "places")
-    found = simhash_components(places, "place", "text", scratch=scratch)
-    kept = places.join(found, "place").groupBy("component_id").agg(F.min("at").alias("at"))
-    kept = kept.select(F.col("at.h1").alias("_h1"), F.col("at.h2").alias("_h2"))
+    texts = docs.select(F.col(id_col).alias("id"), h1.alias("h1"), h2.alias("h2"), F.col(text_col).cast("string").alias("text"))
+    nodes = jaccard.classes(texts, shingle, ratio, scratch)
+    prints = scratch.save(nodes.groupBy("print").agg(F.min("node").alias("rep")), "prints")
+    same = nodes.select("node", "print").join(prints, "print").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    one, two = (prints.select(F.col("print").alias(x), F.col("rep").alias(f"r{x}")) for x in "ab")
+    near = links(prints.select("print"), distance).join(one, "a").join(two, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    member = jaccard.completed(nodes, texts.drop("id"), same.unionByName(near), shingle, ratio, scratch)
+    named = nodes.select("node", "least").join(member, "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("least").alias("kept"))
+    kept = named.select(F.col("kept.h1").alias("_h1"), F.col("kept.h2").alias("_h2"))
     keyed = docs.select(h1.alias("_h1"), h2.alias("_h2"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"))
     return keyed.join(kept, ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"]).select("_row.*")

@@ -55,8 +55,8 @@ def test_against_all_pairs(spark, odd_docs, make_docs, run, monkeypatch):
     monkeypatch.setattr(jaccard, "SHORT_RUN", run)
     near = near_copies(120) + [(500 + k, f"only{k} " * 3 + "one very common line of words in all of these", "s") for k in range(80)]
     for docs in (odd_docs, make_docs(near), spark.read.parquet(f"{SF}/documents.parquet")):
-        assert ids_of(jaccard.one_of_each(docs)) == kept_by_hand([(r.doc_id, r.text) for r in docs.collect()])
-    assert jaccard.one_of_each(make_docs([])).count() == 0
+        assert ids_of(simhash.one_of_each(docs)) == kept_by_hand([(r.doc_id, r.text) for r in docs.collect()])
+    assert simhash.one_of_each(make_docs([])).count() == 0
 
 
 def test_the_stage_joins_five_word_shingles_at_four_fifths(spark):
@@ -65,9 +65,8 @@ def test_the_stage_joins_five_word_shingles_at_four_fifths(spark):
     assert corpus_pipeline.near_duplicates(spark, docs, SF).count() == 3
 
 
-@pytest.mark.parametrize("one_of_each", [jaccard.one_of_each, simhash.one_of_each])
-def test_rows_without_or_with_equal_ids_stay(make_docs, one_of_each):
+def test_rows_without_or_with_equal_ids_stay(make_docs):
     words = lambda k: " ".join(f"{k}word{i}" for i in range(40))
     rows = [(None, words(f"n{k}"), "s") for k in range(5)] + [(7, words("x"), "s"), (7, words("y"), "s"), (3, words("y"), "s"), (7, words("x"), "s")]
-    kept = [(r.doc_id, r.text) for r in one_of_each(make_docs(rows)).collect()]
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(make_docs(rows)).collect()]
     assert sorted(kept, key=str) == sorted([*((None, words(f"n{k}")) for k in range(5)), (7, words("x")), (3, words("y"))], key=str)
