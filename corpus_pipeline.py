@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartolith.llm import jaccard, mixing, packing, pii, quality
+from cartolith.llm import mixing, packing, pii, quality, simhash
 from cartolith.llm.common import Scratch, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: Jaccard similarity of 0.8 of five-word shingles."""
-    return jaccard.one_of_each(docs)
+    """One document of each group of near-duplicates: similarity of 0.8 of the sets of five-word shingles."""
+    return simhash.one_of_each(docs, shingle=5, similarity=0.8)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
