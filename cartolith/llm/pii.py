@@ -1,11 +1,13 @@
 """Surrogates for personal data and secrets.
 
 Entities are found by one pattern a text. Each gets a replacement of its own kind: digits for digits,
-letters of the same case for letters, valid octets for octets, names of the same gender and script for
-names, with the marks between kept. Replacements come from a keyed digest of the entity, so an entity has
-the same one wherever it occurs. A check over the distinct entities of the corpus finds replacements that
-two entities share or that are an entity themselves, and draws again for all but one of these.
-Only built-in functions are used.
+letters of the same case for letters, check digits where the original's hold, valid octets for octets, names
+of the same gender and script for names, with the marks between kept. Replacements come from a keyed digest of
+the entity, so an entity has the same one wherever it occurs. A person is a name, whatever its case and title:
+its gender is settled over all mentions in the corpus, and its last name is replaced by the last name alone, so
+relatives and mentions by last name agree. Checks over the distinct entities of the corpus find replacements
+that two entities share or that are an entity themselves, and draw again for all but one of these until none
+is left. Only built-in functions are used.
 """
 
 from __future__ import annotations
@@ -17,22 +19,22 @@ from .common import Scratch, let, text_of
 
 #: Secret of the digests in tests and queries here; give your own.
 KEY = "cartolith-surrogates"
-#: Draws at most for an entity.
-DRAWS = 16
+#: Draws for an entity after which no clean one is expected: an error.
+DRAWS = 64
 
 _TITLES_M, _TITLES_F = "Mr|Herr|Monsieur|Señor|Don", "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Doña"
 _NAME = r"\p{Lu}[\p{L}\p{M}'’-]+"
 #: kind -> Java pattern; the first that fits counts.
 PATTERNS: dict[str, str] = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "assigned": r"(?<![\p{L}\p{N}])(?i:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}(?:\"[^\"\n]{4,200}\"|'[^'\n]{4,200}')",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,128}|(?:sk|pk|ghp|gho|xox[abp]|AKIA|AIza|eyJ)[-_A-Za-z0-9.]{16,200})(?![\p{L}\p{N}])",
+    "assigned": r"(?<![\p{L}\p{N}])(?i:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}(?:\"[^\"\n]{4,}+\"|'[^'\n]{4,}+')",
+    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-fA-F]{32,}+|(?:sk|pk|ghp|gho|xox[abp]|AKIA|AIza|eyJ)[-_A-Za-z0-9.]{16,}+)(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}+.-])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{L}\p{N}]|\.\d)",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])",
-    "person": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLES_M}|{_TITLES_F}|Dr|Prof|Sr)\.? |(?:[Mm]y name is|[Nn]ame:|[Ii]ch heiße|[Jj]e m'appelle|[Mm]e llamo) ){_NAME}(?: {_NAME})?",
+    "person": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLES_M}|{_TITLES_F}|Dr|Prof|Sr)\.? |(?:[Mm]y name is|[Nn]ame:|[Ii]ch heiße|[Jj]e m'appelle|[Mm]e llamo) ){_NAME}(?: {_NAME}){{0,2}}",
 }
 #: The back reference of "card" must name its own group among all patterns: it's the first.
 _ALL = "|".join(PATTERNS.values())
@@ -75,6 +77,7 @@ def matches(text: Column) -> Column:
 
 
 _CUE = rf"^(?:(?:{_TITLES_M}|{_TITLES_F}|Dr|Prof|Sr)\.? |(?:[Mm]y name is|[Nn]ame:|[Ii]ch heiße|[Jj]e m'appelle|[Mm]e llamo) )"
+_TITLE = rf"^(?:{_TITLES_M}|{_TITLES_F}|Dr|Prof|Sr)\.? "
 _ASSIGNED = r"^[^=:]*[=:]\s*[\"']"
 
 
@@ -85,14 +88,26 @@ def core(entity: Column, kind: Column) -> Column:
         .when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, r"[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(entity, " ", ""))
         .when(kind == "assigned", F.regexp_replace(F.regexp_replace(entity, _ASSIGNED, ""), r"[\"']$", ""))
-        .when(kind == "person", F.regexp_replace(entity, _CUE, ""))
+        .when(kind == "person", F.initcap(F.regexp_replace(entity, _CUE, "")))
         .otherwise(entity)
     )
 
 
-def family(kind: Column) -> Column:
-    """Kinds whose entities must stay distinct from each other: a secret is one with or without its name."""
-    return F.when(kind == "assigned", F.lit("secret")).otherwise(kind)
+def family(entity: Column, kind: Column) -> Column:
+    """Kinds whose entities must stay distinct from each other: a secret is one with or without its name.
+    One name after a title is a last name."""
+    last = (kind == "person") & entity.rlike(_TITLE) & ~F.regexp_replace(entity, _CUE, "").contains(" ")
+    return F.when(kind == "assigned", F.lit("secret")).when(last, F.lit("last")).otherwise(kind)
+
+
+def gender(entity: Column) -> Column:
+    """What a mention of a person tells: m, f or n."""
+    name = F.regexp_replace(entity, _CUE, "")
+    return (
+        F.when(entity.rlike(rf"^(?:{_TITLES_M})\b") | name.rlike(rf"^(?i:{KNOWN_MALE})\b"), F.lit("m"))
+        .when(entity.rlike(rf"^(?:{_TITLES_F})\b") | name.rlike(rf"^(?i:{KNOWN_FEMALE})\b"), F.lit("f"))
+        .otherwise(F.lit("n"))
+    )
 
 
 def _shape(text: Column, digest: Column, hexadecimal: bool | Column = False) -> Column:
@@ -122,37 +137,63 @@ def _pick(items: tuple[str, ...], digest: Column, at: int) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in items]), index + 1)
 
 
-def _name(entity: Column, digest: Column, draw: Column) -> Column:
-    """A name of the same gender, script, case and number of parts, after the same title or cue."""
+def _by_script(name: Column, of: dict[str, Column]) -> Column:
+    return F.when(name.rlike(r"\p{IsCyrillic}"), of["cyrillic"]).when(name.rlike(r"\p{IsGreek}"), of["greek"]).otherwise(of["latin"])
+
+
+def _syllables(name: Column, digest: Column, first: int, n: Column) -> Column:
+    """n syllables of the script of a name, from a place of the digest on."""
+    pool = _by_script(name, {s: F.lit("".join(two)) for s, two in SYLLABLES.items()})
+    at = lambda i: F.conv(F.substring(digest, 2 * (i % 40) + first, F.lit(2)), 16, 10).cast("int") % 16
+    made = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(pool, 2 * at(i) + 1, F.lit(2)))
+    return F.when(n > 0, F.array_join(made, "")).otherwise(F.lit(""))
+
+
+def last_name(name: Column, draw: Column, key: str) -> Column:
+    """The replacement of a last name. Later draws are longer: there are more of them."""
+    seed = F.concat_ws("\x00", F.lit(key), F.lit("last"), F.initcap(name), draw.cast("string"))
+    return let(F.sha2(seed.cast("binary"), 512), lambda d: F.initcap(_syllables(name, d, 3, F.conv(F.substring(d, 1, 1), 16, 10).cast("int") % 2 + draw + 3)))
+
+
+def _name(entity: Column, digest: Column, draw: Column, sex: Column, last_draw: Column, key: str) -> Column:
+    """A name of the given gender, of the same script, case and number of parts, after the same title or cue."""
     cue, name = F.regexp_extract(entity, _CUE, 0), F.regexp_replace(entity, _CUE, "")
-    script = F.when(name.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).when(name.rlike(r"\p{IsGreek}"), F.lit("greek")).otherwise(F.lit("latin"))
-    gender = (
-        F.when(cue.rlike(rf"^(?:{_TITLES_M})\b") | name.rlike(rf"^(?:{KNOWN_MALE})\b"), F.lit("m"))
-        .when(cue.rlike(rf"^(?:{_TITLES_F})\b") | name.rlike(rf"^(?:{KNOWN_FEMALE})\b"), F.lit("f"))
-        .otherwise(F.lit("n"))
-    )
-    first = F.lit(None).cast("string")
-    for (s, g), names in FIRST_NAMES.items():
-        first = F.when((script == s) & (gender == g), _pick(names, digest, 1)).otherwise(first)
-    syllables = F.lit(None).cast("string")
-    for s, two in SYLLABLES.items():
-        syllables = F.when(script == s, F.lit("".join(two))).otherwise(syllables)
-
-    def syllable(i: Column) -> Column:
-        at = F.conv(F.substring(digest, 2 * i + 3, F.lit(2)), 16, 10).cast("int") % 16
-        return F.substring(syllables, 2 * at + 1, F.lit(2))
-
-    # later draws have longer names: there are more of them
-    last = F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), draw + 3), syllable), ""))
-    new = F.when(name.contains(" "), F.concat(first, F.lit(" "), last)).when(cue.rlike("^(?:[Mm]y|[Nn]ame|[Ii]ch|[Jj]e|[Mm]e )"), first).otherwise(last)
+    parts = F.split(name, " ")
+
+    def given(at: int) -> Column:
+        by = {s: F.when(sex == "m", _pick(FIRST_NAMES[s, "m"], digest, at)).when(sex == "f", _pick(FIRST_NAMES[s, "f"], digest, at)).otherwise(_pick(FIRST_NAMES[s, "n"], digest, at)) for s in SYLLABLES}
+        return _by_script(name, by)
+
+    first = F.concat(given(1), _syllables(name, digest, 10, draw))
+    last = last_name(F.element_at(parts, -1), last_draw, key)
+    middle = F.when(F.size(parts) > 2, F.concat(given(5), F.lit(" "))).otherwise(F.lit(""))
+    new = F.when(F.size(parts) > 1, F.concat(first, F.lit(" "), middle, last)).when(entity.rlike(_TITLE), last).otherwise(first)
     return F.concat(cue, F.when((name == F.upper(name)) & (F.length(name) > 2), F.upper(new)).otherwise(new))
 
 
-def surrogate(entity: Column, kind: Column, draw: Column, key: str) -> Column:
-    """The replacement of an entity, by the digest of its core and the number of draws before."""
+def _luhn(digits: Column) -> Column:
+    """The check digit that belongs behind digits."""
+    each = F.transform(F.reverse(F.filter(F.split(digits, ""), lambda c: c != "")), lambda c, i: let(c.try_cast("int") * F.when(i % 2 == 0, 2).otherwise(1), lambda v: v % 10 + F.floor(v / 10)))
+    return ((10 - F.aggregate(each, F.lit(0).cast("long"), lambda a, v: a + v) % 10) % 10).cast("string")
+
+
+def _iban_check(country: Column, rest: Column) -> Column:
+    """The two check digits of an account number, by the remainder of 97."""
+
+    def step(r: Column, c: Column) -> Column:  # A is 10, and so on
+        return F.when(c.rlike("[0-9]"), (r * 10 + c.try_cast("int")) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97)
+
+    chars = F.filter(F.split(F.concat(rest, country, F.lit("00")), ""), lambda c: (c != "") & (c != " "))
+    return F.lpad((98 - F.aggregate(chars, F.lit(0), step)).cast("string"), 2, "0")
+
+
+def surrogate(entity: Column, kind: Column, draw: Column, key: str, sex: Column | None = None, last_draw: Column | None = None) -> Column:
+    """The replacement of an entity, by the digest of its core and the number of draws before. Of a person also
+    by the settled gender, and the draws of the last name."""
+    sex, last_draw = gender(entity) if sex is None else sex, F.lit(0) if last_draw is None else last_draw
 
     def of(value: Column) -> Column:
-        seed = F.concat_ws("\x00", F.lit(key), family(kind), value, draw.cast("string"))
+        seed = F.concat_ws("\x00", F.lit(key), family(entity, kind), value, draw.cast("string"))
         return let(F.sha2(seed.cast("binary"), 512), lambda d: drawn(value, d))
 
     def drawn(value: Column, d: Column) -> Column:
@@ -163,46 +204,72 @@ def surrogate(entity: Column, kind: Column, draw: Column, key: str) -> Column:
             F.when(kind == "assigned", F.regexp_extract(entity, _ASSIGNED, 0))
             .when(kind == "phone", country)
             .when(kind == "iban", F.substring(entity, 1, 2))
+            .when(kind == "card", F.substring(entity, 1, 1))
             .otherwise(F.lit(""))
         )
         middle = (
             F.when(kind.isin("assigned", "secret"), value)
             .when(kind == "phone", F.substring(entity, F.length(country) + 1, F.lit(100)))
             .when(kind == "iban", F.substring(entity, 3, 100))
+            .when(kind == "card", F.substring(entity, 2, 100))
             .when(kind == "email", F.regexp_extract(entity, r"^[^@]*@[^.]*", 0))
             .otherwise(entity)
         )
         after = F.when(kind == "assigned", F.substring(entity, -1, 1)).when(kind == "email", F.lit(".example.net")).otherwise(F.lit(""))
-        shaped = _shape(middle, d, code)
-        shaped = F.when(code & (value == F.upper(value)) & value.rlike("[A-F]"), F.upper(shaped)).otherwise(shaped)
-        return F.when(kind == "ip", _octets(d)).when(kind == "person", _name(entity, d, draw)).otherwise(F.concat(before, shaped, after))
+
+        def joined(shaped: Column) -> Column:
+            cased = F.when(code & (value == F.upper(value)) & value.rlike("[A-F]"), F.upper(shaped)).otherwise(shaped)
+            whole = F.concat(before, cased, after)
+            digits = F.regexp_replace(whole, "[^0-9]", "")
+            body = lambda x: F.substring(x, F.lit(1), F.length(x) - 1)
+            card = F.when(_luhn(body(value)) == F.substring(value, -1, 1), F.concat(body(whole), _luhn(body(digits)))).otherwise(whole)
+            holds = _iban_check(F.substring(value, 1, 2), F.substring(value, 5, 100)) == F.substring(value, 3, 2)
+            iban = F.when(holds, F.concat(before, _iban_check(before, F.substring(whole, 5, 100)), F.substring(whole, 5, 100))).otherwise(whole)
+            return F.when(kind == "card", card).when(kind == "iban", iban).otherwise(whole)
+
+        return F.when(kind == "ip", _octets(d)).when(kind == "person", _name(entity, d, draw, sex, last_draw, key)).otherwise(let(_shape(middle, d, code), joined))
 
     return let(core(entity, kind), of)
 
 
-def collisions(docs: DataFrame, text_col: str, key: str, scratch: Scratch) -> DataFrame:
-    """(family, core, draw) of the entities that must draw again, over all documents.
+def _settle(entities: DataFrame, new: Column, scratch: Scratch) -> DataFrame:
+    """The entities (family, core ...) with the draw that each ends with; ``new``: replacement by draw.
 
-    Entities are compared by core within a family. Of those that share a replacement, the one with the
-    smallest core keeps it; one whose replacement is an entity of the corpus draws again too.
+    Of those that share a replacement, the one with the smallest core keeps it; one whose replacement is an
+    entity of the corpus draws again too.
     """
-    found = docs.select(F.explode(F.array_distinct(matches(text_of(text_col)))).alias("e")).distinct()
-    found = found.withColumn("kind", kind_of(F.col("e"))).withColumn("family", family(F.col("kind"))).withColumn("core", core(F.col("e"), F.col("kind")))
-    # one mention stands for all: they differ in marks alone
-    entities = scratch.save(found.groupBy("family", "core").agg(F.min(F.struct("e", "kind")).alias("m")).select("family", "core", F.col("m.e").alias("e"), F.col("m.kind").alias("kind")), "entities")
-    settled = entities.withColumn("draw", F.lit(0))
-    drawn = let(surrogate(F.col("e"), F.col("kind"), F.col("draw"), key), lambda new: core(new, F.col("kind")))
+    settled, names = entities.withColumn("draw", F.lit(0)), entities.columns
+    real = entities.select("family", F.col("core").alias("new"), F.lit(True).alias("real"))
     for _ in range(DRAWS):
-        now = scratch.save(settled.withColumn("new", drawn), "draws")
+        now = scratch.save(settled.withColumn("new", new), "draws")
         shared = now.groupBy("family", "new").agg(F.min(F.struct("core")).alias("keeps"), F.count(F.lit(1)).alias("c")).where("c > 1").select("family", "new", F.col("keeps.core").alias("keeps"))
-        real = entities.select("family", F.col("core").alias("new"), F.lit(True).alias("real"))
         again = now.join(shared, ["family", "new"], "left").join(real, ["family", "new"], "left")
         clash = F.coalesce("real", F.lit(False)) | F.coalesce(F.col("core") != F.col("keeps"), F.lit(False))
-        settled = scratch.save(again.select("family", "core", "e", "kind", (F.col("draw") + clash.cast("int")).alias("draw"), clash.alias("clash")), "draws")
+        settled = scratch.save(again.select(*names, (F.col("draw") + clash.cast("int")).alias("draw"), clash.alias("clash")), "draws")
         if not settled.where("clash").limit(1).count():
-            break
+            return settled.drop("clash")
         settled = settled.drop("clash")
-    return settled.where("draw > 0").select("family", "core", "draw")
+    raise RuntimeError(f"replacements still clash after {DRAWS} draws")
+
+
+def settled_entities(docs: DataFrame, text_col: str, key: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """What the digest of a mention doesn't tell, over all documents: (family, core, draw, sex) of entities that
+    draw again or whose mentions tell different genders, and (last, last_draw) of last names that draw again."""
+    found = docs.select(F.explode(F.array_distinct(matches(text_of(text_col)))).alias("e")).distinct()
+    found = found.withColumn("kind", kind_of(F.col("e"))).withColumn("family", family(F.col("e"), F.col("kind"))).withColumn("core", core(F.col("e"), F.col("kind")))
+    # one mention stands for all: they differ in marks alone
+    votes = [F.max((F.col("kind") == "person") & (gender(F.col("e")) == g)).alias(g) for g in "mfn"]
+    every = found.groupBy("family", "core").agg(F.min(F.struct("e", "kind")).alias("one"), *votes)
+    sex = F.when(F.col("m") & ~F.col("f"), F.lit("m")).when(F.col("f") & ~F.col("m"), F.lit("f")).otherwise(F.lit("n"))
+    mixed = F.col("m").cast("int") + F.col("f").cast("int") + F.col("n").cast("int") > 1
+    last = F.when(F.col("one.kind") == "person", F.element_at(F.split("core", " "), -1))
+    every = scratch.save(every.select("family", "core", F.col("one.e").alias("e"), F.col("one.kind").alias("kind"), sex.alias("sex"), mixed.alias("mixed"), last.alias("last")), "entities")
+    lasts = every.where("last IS NOT NULL").select(F.lit("last").alias("family"), F.col("last").alias("core")).distinct()
+    lasts = _settle(lasts, last_name(F.col("core"), F.col("draw"), key), scratch).where("draw > 0").select(F.col("core").alias("last"), F.col("draw").alias("last_draw"))
+    lasts = scratch.save(lasts, "lasts")
+    others = every.where("family <> 'last'").join(lasts, "last", "left").withColumn("last_draw", F.coalesce("last_draw", F.lit(0)))
+    drawn = let(surrogate(F.col("e"), F.col("kind"), F.col("draw"), key, F.col("sex"), F.col("last_draw")), lambda new: core(new, F.col("kind")))
+    return _settle(others, drawn, scratch).where("draw > 0 OR mixed").select("family", "core", "draw", "sex"), lasts
 
 
 def replaced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY, scratch: Scratch | None = None) -> DataFrame:
@@ -213,21 +280,25 @@ def replaced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     """
     scratch = scratch or Scratch(docs.sparkSession)
     names = docs.columns
-    again = collisions(docs, text_col, key, scratch)
+    settled, lasts = settled_entities(docs, text_col, key, scratch)
     rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), F.col(text_col).alias("_text"), matches(text_of(text_col)).alias("_found"))
-    none = F.lit(None).cast("map<string,int>")
-    if again.limit(1).count():
+    if settled.limit(1).count() or lasts.limit(1).count():
         rows = rows.withColumn("_i", F.coalesce(F.xxhash64(F.col("_row")), F.lit(0)))
         each = rows.select("_i", F.explode(F.array_distinct("_found")).alias("e")).withColumn("kind", kind_of(F.col("e")))
-        each = each.select("_i", "e", family(F.col("kind")).alias("family"), core(F.col("e"), F.col("kind")).alias("core"))
-        draws = each.join(again, ["family", "core"]).groupBy("_i").agg(F.map_from_entries(F.collect_set(F.struct("e", "draw"))).alias("_draws"))
-        rows = rows.join(draws, "_i", "left")
+        each = each.select("_i", "e", family(F.col("e"), F.col("kind")).alias("family"), core(F.col("e"), F.col("kind")).alias("core"), (F.col("kind") == "person").alias("named"))
+        each = each.withColumn("last", F.when(F.col("named"), F.element_at(F.split("core", " "), -1)))
+        told = each.join(settled, ["family", "core"], "left").join(lasts, "last", "left").where("draw IS NOT NULL OR last_draw IS NOT NULL")
+        told = told.groupBy("_i").agg(F.map_from_entries(F.collect_set(F.struct("e", F.struct("draw", "sex", "last_draw")))).alias("_told"))
+        rows = rows.join(told, "_i", "left")
     else:
-        rows = rows.withColumn("_draws", none)
+        rows = rows.withColumn("_told", F.lit(None).cast("map<string,struct<draw:int,sex:string,last_draw:int>>"))
 
     def one(e: Column) -> Column:
-        draw = F.coalesce(F.try_element_at("_draws", e), F.lit(0))
-        return let(kind_of(e), lambda kind: F.struct(kind.alias("kind"), surrogate(e, kind, draw, key).alias("new")))
+        def of(kind: Column, told: Column) -> Column:
+            new = surrogate(e, kind, F.coalesce(told["draw"], F.lit(0)), key, F.coalesce(told["sex"], gender(e)), F.coalesce(told["last_draw"], F.lit(0)))
+            return F.struct(kind.alias("kind"), new.alias("new"))
+
+        return let(F.struct(kind_of(e).alias("kind"), F.try_element_at("_told", e).alias("told")), lambda x: of(x["kind"], x["told"]))
 
     def built(new: Column) -> Column:
         parts = F.transform(F.split("_text", _ALL), lambda piece, i: F.concat(piece, F.coalesce(F.get(new, i)["new"], F.lit(""))))

@@ -83,4 +83,69 @@ def test_table(spark):
 
 def test_draws_end(make_docs):
     scratch = Scratch(make_docs([]).sparkSession)
-    assert pii.collisions(make_docs([(1, TEXTS[0], "s")]), "text", pii.KEY, scratch).count() == 0
+    settled, lasts = pii.settled_entities(make_docs([(1, TEXTS[0], "s")]), "text", pii.KEY, scratch)
+    assert settled.count() == 0 and lasts.count() == 0
+
+
+def test_coreference_of_people(make_docs):
+    """One replacement a name, whatever its title and case; last names agree; gender over all mentions."""
+    texts = ["Mr. Kim Lee met My name is Kim Lee or Mrs. Kim Lee; Mr. Lee, Mr. LEE.", "Dr. Ada Smith; Mrs. Ada Smith; Mr John Fitzgerald Kennedy, Mr. Kennedy."]
+    one, two = (r["text"] for r in run(make_docs, texts))
+    m = re.fullmatch(r"Mr\. (\w+ \w+) met My name is (\w+ \w+) or Mrs\. (\w+ \w+); Mr\. (\w+), Mr\. (\w+)\.", one)
+    assert m[1] == m[2] == m[3] and m[1].split()[1] == m[4] and m[5] == m[4].upper()
+    assert m[1].split()[0] in pii.FIRST_NAMES["latin", "n"]
+    m = re.fullmatch(r"Dr\. (\w+ \w+); Mrs\. (\w+ \w+); Mr (\w+) (\w+) (\w+), Mr\. (\w+)\.", two)
+    assert m[1] == m[2] and m[1].split()[0] in pii.FIRST_NAMES["latin", "f"] and m[5] == m[6] and m[3] in pii.FIRST_NAMES["latin", "m"]
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def iban(text):
+    text = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+
+
+def test_check_digits(make_docs):
+    texts = ["4111 1111 1111 1111", "5500-0000-0000-0004", "4111 1111 1111 1112", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
+    new = [r["text"] for r in run(make_docs, texts)]
+    assert luhn(re.sub(r"\D", "", new[0])) and luhn(re.sub(r"\D", "", new[1])) and iban(new[3]) and iban(new[4])
+    assert [x[0] for x in new[:3]] == ["4", "5", "4"] and new[3][:2] == "DE" and new[4][:2] == "GB"
+    assert all(a != b and re.sub(r"\w", "x", a) == re.sub(r"\w", "x", b) for a, b in zip(texts, new, strict=True))
+
+
+def test_long_secrets_go_whole(make_docs):
+    jwt = "eyJ" + "aB3-_." * 60 + "zz"
+    texts = [f"a {jwt} b", "c " + "0f" * 150 + " d", "sk-" + "Q1w" * 110, 'password = "' + "p4 " * 90 + '"']
+    for old, r in zip(texts, run(make_docs, texts), strict=True):
+        for k in range(0, len(old) - 12):
+            assert len(set(old[k : k + 12])) < 5 or old[k : k + 12] not in r["text"] or old[k : k + 8] in ('password', 'assword ')
+
+
+def test_against_brute_force(make_docs, spark):
+    """Entities found and replaced by plain Python from the table's own replacements: texts are equal, replacements
+    are functions of the entity, no two entities share one, and none is an entity."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kinds = defaultdict(dict)
+    found = docs.select("doc_id", "text", pii.matches(pii.text_of("text")).alias("found")).collect()
+    new = {r.doc_id: r for r in pii.replaced(docs).collect()}
+    for r in found:
+        at, rest, text = 0, new[r.doc_id].text, r.text
+        assert len(r.found) == len(new[r.doc_id]._entities)
+        for n, (e, kind) in enumerate(zip(r.found, new[r.doc_id]._entities, strict=True)):
+            where = text.index(e, at)
+            assert rest.startswith(text[at:where])
+            rest, at = rest[where - at :], where + len(e)
+            after = text[at : text.index(r.found[n + 1], at)] if n + 1 < len(r.found) else text[at:]
+            end = rest.index(after) if after and n + 1 < len(r.found) else len(rest) - len(after)
+            kinds[kind].setdefault(e, set()).add(rest[:end])
+            rest = rest[end:]
+        assert rest == text[at:]
+    bare = lambda kind, e: re.sub(r"[^0-9]", "", e) if kind in ("phone", "card", "ssn") else e.lower()
+    for kind, pairs in kinds.items():
+        assert all(len(x) == 1 for x in pairs.values())
+        by = defaultdict(set)
+        for e, x in pairs.items():
+            by[bare(kind, min(x))].add(bare(kind, e))
+        assert all(len(x) == 1 for x in by.values()) and not set(by) & {bare(kind, e) for e in pairs}
