@@ -256,7 +256,9 @@ def settled_entities(docs: DataFrame, text_col: str, key: str, scratch: Scratch)
     """What the digest of a mention doesn't tell, over all documents: (family, core, draw, sex) of entities that
     draw again or whose mentions tell different genders, and (last, last_draw) of last names that draw again."""
     found = docs.select(F.explode(F.array_distinct(matches(text_of(text_col)))).alias("e")).distinct()
-    found = found.withColumn("kind", kind_of(F.col("e"))).withColumn("family", family(F.col("e"), F.col("kind"))).withColumn("core", core(F.col("e"), F.col("kind")))
+    # written, so that later steps read the kind rather than work it out in each expression that names it
+    found = scratch.save(found.select("e", kind_of(F.col("e")).alias("kind")), "found")
+    found = found.withColumn("family", family(F.col("e"), F.col("kind"))).withColumn("core", core(F.col("e"), F.col("kind")))
     # one mention stands for all: they differ in marks alone
     votes = [F.max((F.col("kind") == "person") & (gender(F.col("e")) == g)).alias(g) for g in "mfn"]
     every = found.groupBy("family", "core").agg(F.min(F.struct("e", "kind")).alias("one"), *votes)
@@ -282,6 +284,7 @@ def replaced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     names = docs.columns
     settled, lasts = settled_entities(docs, text_col, key, scratch)
     rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), F.col(text_col).alias("_text"), matches(text_of(text_col)).alias("_found"))
+    settled = scratch.save(settled, "settled")
     if settled.limit(1).count() or lasts.limit(1).count():
         rows = rows.withColumn("_i", F.coalesce(F.xxhash64(F.col("_row")), F.lit(0)))
         each = rows.select("_i", F.explode(F.array_distinct("_found")).alias("e")).withColumn("kind", kind_of(F.col("e")))
