@@ -12,6 +12,9 @@ is left. Only built-in functions are used.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +39,12 @@ PATTERNS: dict[str, str] = {
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])",
     "person": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLES_M}|{_TITLES_F}|Dr|Prof|Sr)\.? |(?:[Mm]y name is|[Nn]ame:|[Ii]ch heiße|[Jj]e m'appelle|[Mm]e llamo) ){_NAME}(?: {_NAME}){{0,2}}",
 }
-#: The back reference of "card" must name its own group among all patterns: it's the first.
-_ALL = "|".join(PATTERNS.values())
-#: Texts without any of these characters or words hold no entity.
-_MAYBE = rf"[@0-9]|\b(?:{_TITLES_M}|{_TITLES_F}|Dr|Prof|Sr)\.? \p{{Lu}}|(?i:name|heiße|appelle|llamo|token|passw|pwd|secret|key)"
+#: The back reference of "card" must name its own group among all patterns: it's the first. No entity starts
+#: behind a letter or digit, which is asked once instead of by each pattern.
+_ALL = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(PATTERNS.values())})"
+_TITLED = rf"\b(?:{_TITLES_M}|{_TITLES_F}|Dr|Prof|Sr)\.? \p{{Lu}}"
+#: Parts of the words, in lower case, without which a text without digits, "@" and titles holds no entity.
+_CUES = ("name", "heiße", "appelle", "llamo", "token", "passw", "pwd", "secret", "key")
 
 #: First names by script and gender, and syllables of last names by script.
 FIRST_NAMES = {
@@ -70,10 +75,17 @@ def kind_of(entity: Column) -> Column:
     return found
 
 
+def maybe(text: Column) -> Column:
+    """Whether a text may hold an entity: plain searches, as most texts hold none."""
+    any_of = lambda value, parts: reduce(or_, (value.contains(p) for p in parts))
+    titles = [*_TITLES_M.split("|"), *_TITLES_F.split("|"), "Dr", "Prof", "Sr"]
+    return text.rlike("[@0-9]") | any_of(F.lower(text), _CUES) | (any_of(text, titles) & text.rlike(_TITLED))
+
+
 def matches(text: Column) -> Column:
     """All entities of a text, in order, repeats included."""
     none = F.array().cast("array<string>")
-    return F.when(text.rlike(_MAYBE), F.regexp_extract_all(text, F.lit(_ALL), F.lit(0))).otherwise(none)
+    return F.when(maybe(text), F.regexp_extract_all(text, F.lit(_ALL), F.lit(0))).otherwise(none)
 
 
 _CUE = rf"^(?:(?:{_TITLES_M}|{_TITLES_F}|Dr|Prof|Sr)\.? |(?:[Mm]y name is|[Nn]ame:|[Ii]ch heiße|[Jj]e m'appelle|[Mm]e llamo) )"
