@@ -46,6 +46,25 @@ _B32 = "0123456789bcdefghjkmnpqrstuvwxyz"
 
 #: name -> (Spark SQL, DuckDB SQL)
 SQL: dict[str, tuple[str, str]] = {
+    # a square and one point inside it, nearest to the lower edge, which is dug in to it
+    "concave_hull": (
+        "SELECT k, round(st_area(st_concavehull(g, 0D)), 6) dug, round(st_area(st_concavehull(g, 1D)), 6) whole, st_npoints(st_concavehull(g, 0D)) n FROM (SELECT p_partkey k, "
+        "st_geomfromtext(concat('MULTIPOINT((0 0),(10 0),(10 10),(0 10),(5 ', p_partkey % 4 + 1, '))')) g FROM {part})",
+        "SELECT p_partkey k, 100.0::DOUBLE - 5 * (p_partkey % 4 + 1) dug, 100.0::DOUBLE whole, 6 n FROM part",
+    ),
+    # the triangle of the second point has an area of 2.5, that of the third one of 45
+    "preserve_topology": (
+        "SELECT k, st_astext(st_simplifypreservetopology(g, 3D)) t, st_astext(st_simplifypreservetopology(g, 1D)) u, st_npoints(st_simplifypreservetopology(r, 1000D)) n FROM (SELECT n_nationkey k, "
+        "st_geomfromtext(concat('LINESTRING(0 0,5 0.5,10 0,', n_nationkey + 20, ' 9)')) g, st_geomfromtext('POLYGON((0 0,4 0,8 0,8 8,4 9,0 8,0 0))') r FROM {nation})",
+        "SELECT n_nationkey k, 'LINESTRING(0 0,10 0,' || (n_nationkey + 20) || ' 9)' t, 'LINESTRING(0 0,5 0.5,10 0,' || (n_nationkey + 20) || ' 9)' u, 4 n FROM nation",
+    ),
+    # a ring, a bow tie, a hole inside and a hole outside, of the sizes of the table
+    "valid_shapes": (
+        "SELECT k, st_isvalid(g) v, st_isvalidreason(g) = 'Valid Geometry' r FROM (SELECT p_partkey k, st_geomfromtext(concat('POLYGON(', CASE p_partkey % 4 WHEN 0 THEN concat('(0 0,', s, ' 0,', s, ' ', s, ',0 ', s, ',0 0)') "
+        "WHEN 1 THEN concat('(0 0,', s, ' ', s, ',', s, ' 0,0 ', s, ',0 0)') WHEN 2 THEN concat('(-1 -1,', s, ' -1,', s, ' ', s, ',-1 ', s, ',-1 -1),(0 0,0.5 0,0.5 0.5,0 0.5,0 0)') "
+        "ELSE concat('(0 0,', s, ' 0,', s, ' ', s, ',0 ', s, ',0 0),(-3 -3,-2 -3,-2 -2,-3 -2,-3 -3)') END, ')')) g FROM (SELECT *, p_size + 1 s FROM {part}))",
+        "SELECT p_partkey k, p_partkey % 4 IN (0, 2) v, p_partkey % 4 IN (0, 2) r FROM part",
+    ),
     "st_point_xy": (
         "SELECT k, st_x(p) x, st_y(p) y, st_z(p) z, p.srid srid FROM (SELECT c_custkey k, st_point(c_acctbal, CAST(c_custkey AS DOUBLE), 4326) p FROM {customer})",
         "SELECT c_custkey k, c_acctbal x, c_custkey::DOUBLE y, NULL::DOUBLE z, 4326 srid FROM customer",
@@ -226,6 +245,16 @@ def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial_join(_customers(spark, sf_dir), few, "p", "cell", "within", "left_anti").select("k")
 
 
+def join_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few = _cells(spark, sf_dir).where("n_nationkey < 12")
+    return spatial_join(_customers(spark, sf_dir), few, "p", "cell", "within", "left").select("k", "n_nationkey")
+
+
+def join_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few = _cells(spark, sf_dir).where("n_nationkey < 12")
+    return spatial_join(_customers(spark, sf_dir), few, "p", "cell", "within", "left_semi").select("k")
+
+
 def filter_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial_filter(_customers(spark, sf_dir), "p", "POLYGON((10 10,30 10,30 25.5,10 25.5,10 10))", "within").select("k")
 
@@ -261,6 +290,15 @@ def geoparquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(read_geoparquet(spark, path, bbox=(0.0, 5.0, 30.0, 20.0)))
 
 
+def geoparquet_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overwritten, then appended to, then read by a box."""
+    path, s = _folder(spark, "geoparquet"), _suppliers(spark, sf_dir)
+    write_geoparquet(s, path)
+    write_geoparquet(s.where("id % 2 = 0"), path, mode="overwrite")
+    write_geoparquet(s.where("id % 2 = 1"), path, mode="append")
+    return _shown(read_geoparquet(spark, path, bbox=(0.0, 0.0, 20.0, 20.0)))
+
+
 def flatgeobuf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "flatgeobuf")
     write_flatgeobuf(_suppliers(spark, sf_dir), path)
@@ -295,10 +333,13 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         join_anti,
         f"SELECT k FROM ({_POINTS}) WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey < 12 AND x > n_nationkey % 5 * 10 AND x < n_nationkey % 5 * 10 + 10 AND y > n_nationkey // 5 * 10 AND y < n_nationkey // 5 * 10 + 10)",
     ),
+    "join_left": (join_left, f"SELECT k, n_nationkey FROM ({_POINTS}) LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 12) ON x > n_nationkey % 5 * 10 AND x < n_nationkey % 5 * 10 + 10 AND y > n_nationkey // 5 * 10 AND y < n_nationkey // 5 * 10 + 10"),
+    "join_semi": (join_semi, f"SELECT k FROM ({_POINTS}) WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey < 12 AND x > n_nationkey % 5 * 10 AND x < n_nationkey % 5 * 10 + 10 AND y > n_nationkey // 5 * 10 AND y < n_nationkey // 5 * 10 + 10)"),
     "filter_literal": (filter_literal, f"SELECT k FROM ({_POINTS}) WHERE x > 10 AND x < 30 AND y > 10 AND y < 25.5"),
     "literal_columns": (literal_columns, f"SELECT k, x > 10 AND x < 30 AND y > 10 AND y < 25.5 a, false b, x > 10 AND x < 30 AND y > 10 AND y < 25.5 c, false d FROM ({_POINTS})"),
     "dump_rows": (dumped_rows, "SELECT n_nationkey k, '1.1' path, 'POINT(0 0)' t FROM nation UNION ALL SELECT n_nationkey, '1.2', 'POINT(' || n_nationkey || ' 1)' FROM nation UNION ALL SELECT n_nationkey, '2', 'POINT(5 5)' FROM nation"),
     "geoparquet_round_trip": (geoparquet_round_trip, _ROUND_TRIP + " WHERE s_suppkey % 50 <= 30 AND s_nationkey BETWEEN 5 AND 20"),
+    "geoparquet_append": (geoparquet_append, _ROUND_TRIP + " WHERE s_suppkey % 50 <= 20 AND s_nationkey <= 20"),
     "flatgeobuf_round_trip": (flatgeobuf_round_trip, _ROUND_TRIP + " WHERE s_suppkey % 50 <= 30 AND s_nationkey BETWEEN 5 AND 20"),
     "geojson_round_trip": (geojson_round_trip, _ROUND_TRIP),
     "window_extents": (

@@ -70,21 +70,31 @@ def geo_metadata(spark: SparkSession, path: str) -> dict:
     return json.loads(text) if text else {}
 
 
+def _meets(at: dict[str, Column], bbox: tuple) -> Column:
+    return (at["xmin"] <= bbox[2]) & (at["xmax"] >= bbox[0]) & (at["ymin"] <= bbox[3]) & (at["ymax"] >= bbox[1])
+
+
 def read_geoparquet(spark: SparkSession, path: str, bbox: tuple | None = None, decode: bool = True) -> DataFrame:
     """The table, its geometry columns as geometries; those in WKB as binary if not ``decode``.
 
     Geometry columns carry their encoding and reference system as column metadata. ``bbox`` keeps rows
-    whose covering column, if the file has one, meets the box; row groups outside are skipped.
+    whose primary geometry's box meets it. Where the files have a covering column, the scan skips row groups
+    by it; without one, or where it is null, boxes are computed.
     """
     meta = geo_metadata(spark, path)
     df = spark.read.parquet(path)
     columns = meta.get("columns", {})
+    primary, unsettled = meta.get("primary_column"), None
     if bbox:
-        for c in columns.values():
-            cover = (c.get("covering") or {}).get("bbox")
-            if cover:
-                at = {k: F.col(".".join(v)) for k, v in cover.items()}
-                df = df.where((at["xmin"] <= bbox[2]) & (at["xmax"] >= bbox[0]) & (at["ymin"] <= bbox[3]) & (at["ymax"] >= bbox[1]))
+        if primary not in columns:
+            raise ValueError(f"{path} names no primary geometry column, which bbox needs")
+        cover = (columns[primary].get("covering") or {}).get("bbox")
+        if cover:
+            at = {k: F.col(".".join(f"`{x}`" for x in v)) for k, v in cover.items()}
+            unsettled = at["xmin"].isNull() | at["xmax"].isNull() | at["ymin"].isNull() | at["ymax"].isNull()
+            df = df.where(_meets(at, bbox) | unsettled)
+        else:
+            unsettled = F.lit(True)
     out = []
     for name in df.columns:
         spec = columns.get(name)
@@ -98,17 +108,29 @@ def read_geoparquet(spark: SparkSession, path: str, bbox: tuple | None = None, d
             raise ValueError(f"{name} has the unknown encoding {encoding}")
         native = encoding != "WKB"
         g = native_geometry(name, df.schema[name].dataType, encoding, srid) if native else st.st_geomfromwkb(name) if decode else F.col(name)
+        if bbox and name == primary:
+            shape = g if native or decode else st.st_geomfromwkb(name)
+            box = {"xmin": st.st_xmin(shape), "xmax": st.st_xmax(shape), "ymin": st.st_ymin(shape), "ymax": st.st_ymax(shape)}
+            df = df.where(F.when(unsettled, _meets(box, bbox)).otherwise(True))
         if decode and srid and not native:
             g = F.when(g.isNotNull(), g.withField("srid", F.lit(srid)))
         out.append(g.alias(name, metadata=extension_metadata(srid or None)))
     return df.select(*out)
 
 
-def write_geoparquet(df: DataFrame, path: str, geom: str = "geometry", srid: int = 0) -> None:
+def write_geoparquet(df: DataFrame, path: str, geom: str = "geometry", srid: int = 0, mode: str = "append") -> None:
     """Files with the geometry as WKB, a covering column ``bbox`` and the "geo" entry in their footers.
 
-    Each task writes a file through Arrow's file system of the path; existing files stay.
+    Each task writes a file into a folder of this write, through Arrow's file system of the path, and
+    returns its name. When all are done, the named files are moved to their place: those of attempts that
+    failed or ran twice never get there. ``mode``: append, overwrite or error (if there are files).
     """
+    if mode not in ("append", "overwrite", "error"):
+        raise ValueError("mode must be append, overwrite or error")
+    from pyarrow import fs
+
+    from .flatgeobuf import _open
+
     from pyspark.sql.pandas.types import to_arrow_type
 
     g = st.as_geom(df, geom)
@@ -119,22 +141,32 @@ def write_geoparquet(df: DataFrame, path: str, geom: str = "geometry", srid: int
     meta = {"version": "1.1.0", "primary_column": geom, "columns": {geom: {"encoding": "WKB", "geometry_types": [], "covering": {"bbox": cover}, "crs": crs}}}
     schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in out.schema], metadata={"geo": json.dumps(meta)})
 
+    system, where = _open(path)
+    system.create_dir(where, recursive=True)
+    old = [f.path for f in system.get_file_info(fs.FileSelector(where)) if f.is_file and f.path.endswith(".parquet")]
+    if old and mode == "error":
+        raise FileExistsError(path)
+    run = f"_temporary-{uuid.uuid4().hex}"
+    system.create_dir(f"{where}/{run}")
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
 
-        from .flatgeobuf import _open
-
         system, where = _open(path)
-        system.create_dir(where, recursive=True)
-        name, rows, writer = f"{where}/part-{uuid.uuid4().hex}.parquet", 0, None
+        name, writer = f"part-{uuid.uuid4().hex}.parquet", None
         for batch in batches:
             if batch.num_rows:
-                writer = writer or pq.ParquetWriter(name + ".tmp", schema, filesystem=system, compression="zstd")
+                writer = writer or pq.ParquetWriter(f"{where}/{run}/{name}", schema, filesystem=system, compression="zstd")
                 writer.write_table(pa.Table.from_batches([batch]).cast(schema))
-                rows += batch.num_rows
         if writer:
             writer.close()
-            system.move(name + ".tmp", name)  # whole files only
-        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], names=["rows"])
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.string())], names=["name"])
 
-    out.mapInArrow(write, T.StructType([T.StructField("rows", T.LongType())])).agg(F.sum("rows")).collect()
+    try:
+        written = out.mapInArrow(write, T.StructType([T.StructField("name", T.StringType())])).collect()
+        for row in written:
+            system.move(f"{where}/{run}/{row.name}", f"{where}/{row.name}")
+        for name in old if mode == "overwrite" else ():
+            system.delete_file(name)
+    finally:
+        system.delete_dir(f"{where}/{run}")

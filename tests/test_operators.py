@@ -147,12 +147,59 @@ def test_geoparquet(spark, table, tmp_path):
     df = read_geoparquet(spark, path)
     assert shown(df) == shown(table) and st.crs_of(df, "geometry") == "EPSG:4326"
     near = read_geoparquet(spark, path, bbox=(6.5, 6.5, 8, 8))
-    assert sorted(r.id for r in near.select("id").collect()) == [6, 8] and "PushedFilters: [IsNotNull(bbox.xmin)" in near._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in near.select("id").collect()) == [6, 8] and "PushedFilters: [Or(And(And(And(LessThanOrEqual(bbox.xmin" in near._jdf.queryExecution().executedPlan().toString()
     assert dict(read_geoparquet(spark, path, decode=False).dtypes)["geometry"] == "binary"
     table.select("id").write.parquet(str(tmp_path / "plain"))
     assert geo_metadata(spark, str(tmp_path / "plain")) == {}
 
 
+def test_geoparquet_box_without_or_with_null_covering(spark, table, tmp_path):
+    import json
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    write_geoparquet(table.coalesce(1), str(tmp_path / "g"))
+    file = next((tmp_path / "g").glob("*.parquet"))
+    whole = pq.read_table(file)
+    geo = json.loads(whole.schema.metadata[b"geo"])
+    near = lambda path: sorted(r.id for r in read_geoparquet(spark, str(path), bbox=(6.5, 6.5, 8, 8)).select("id").collect())
+    null = whole.set_column(whole.schema.get_field_index("bbox"), "bbox", pa.nulls(len(whole), whole.schema.field("bbox").type))
+    pq.write_table(null.replace_schema_metadata(whole.schema.metadata), tmp_path / "null.parquet")
+    del geo["columns"]["geometry"]["covering"]
+    pq.write_table(whole.drop(["bbox"]).replace_schema_metadata({"geo": json.dumps(geo)}), tmp_path / "none.parquet")
+    assert near(tmp_path / "g") == near(tmp_path / "null.parquet") == near(tmp_path / "none.parquet") == [6, 8]
+
+
+def test_geoparquet_modes_and_tasks_run_twice(spark, table, tmp_path):
+    from pyspark import TaskContext
+    from pyspark.sql import functions as F
+
+    path, marks = str(tmp_path / "g"), tmp_path / "marks"
+    marks.mkdir()
+
+    @F.udf("long")
+    def once(i):
+        """Fails in the first attempt of each task, after rows were written."""
+        seen = marks / str(TaskContext.get().partitionId())
+        if not seen.exists():
+            seen.touch()
+            raise RuntimeError("lost")
+        return i
+
+    write_geoparquet(table, path)
+    n = table.count()
+    write_geoparquet(table, path)
+    assert read_geoparquet(spark, path).count() == 2 * n
+    write_geoparquet(table, path, mode="overwrite")
+    assert read_geoparquet(spark, path).count() == n and not list((tmp_path / "g").glob("_temporary*"))
+    with pytest.raises(FileExistsError):
+        write_geoparquet(table, path, mode="error")
+    with pytest.raises(Exception, match="lost"):  # local mode runs a task once: nothing of a failed write is left
+        write_geoparquet(table.withColumn("id", once("id")), path, mode="overwrite")
+    assert read_geoparquet(spark, path).count() == n and not list((tmp_path / "g").glob("_temporary*"))
+
+
 def test_native_geoparquet(spark, tmp_path):
     import json
 
