@@ -171,7 +171,7 @@ def test_geoparquet_box_without_or_with_null_covering(spark, table, tmp_path):
     assert near(tmp_path / "g") == near(tmp_path / "null.parquet") == near(tmp_path / "none.parquet") == [6, 8]
 
 
-def test_geoparquet_modes_and_tasks_run_twice(spark, table, tmp_path):
+def test_geoparquet_modes_and_failed_writes(spark, table, tmp_path):
     from pyspark import TaskContext
     from pyspark.sql import functions as F
 
@@ -180,7 +180,7 @@ def test_geoparquet_modes_and_tasks_run_twice(spark, table, tmp_path):
 
     @F.udf("long")
     def once(i):
-        """Fails in the first attempt of each task, after rows were written."""
+        """Fails in the first attempt of each task."""
         seen = marks / str(TaskContext.get().partitionId())
         if not seen.exists():
             seen.touch()
