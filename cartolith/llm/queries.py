@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, htmltext, infill, lm, mixing, packing, pii, quality, repeats, simhash, tokens
+from . import conversation, hnsw, htmltext, infill, lm, mixing, packing, pii, quality, repeats, simhash, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,11 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation.damaged(table(spark, sf_dir, "conversations"))
+    return conversation.report(rows, copies_col="copies")
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = infill.infill(table(spark, sf_dir, "documents"))
     text = infill.restored(F.col("output"), F.col("form"))
@@ -75,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op8_tokens": op8_tokens,
     "op9_repeats": op9_repeats,
     "op10_html": op10_html,
+    "op11_conversation": op11_conversation,
     "op12_infill": op12_infill,
 }
 
@@ -158,6 +164,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     OR (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines) OR 100 * n_exclamations > 60 * n_words
     OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
 FROM m""",
+    "op11_conversation": r"""
+WITH RECURSIVE given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+coded AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda ch: ord(ch)::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384)))) % 20 AS code FROM given),
+hurt AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+  CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM coded),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen, rtrim(text, E' \t\n\x0b\x0c\r') AS body FROM hurt),
+faulty AS (SELECT *, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair,
+  CASE WHEN body = '' THEN 'b' WHEN seen THEN 'd' WHEN right(body, 1) IN ('.', '!', '?') THEN '' ELSE 't' END AS fault FROM placed),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM faulty GROUP BY conv_id),
+inserted(state, next, edits, price, rows_) AS (VALUES ('', '', '', 0, []), ('', 'u', 'I', 2, ['user:']), ('', 'a', 'II', 4, ['user:', 'assistant:']), ('s', 's', '', 0, []), ('s', 'u', 'I', 2, ['user:']),
+  ('s', 'a', 'II', 4, ['user:', 'assistant:']), ('u', 'u', '', 0, []), ('u', 'a', 'I', 2, ['assistant:']), ('a', 'a', '', 0, []), ('a', 'u', 'I', 2, ['user:'])),
+way(conv_id, i, state, cost, audit, rows_) AS (
+  SELECT conv_id, 0::BIGINT, next, price::BIGINT, edits, rows_ FROM counts, inserted WHERE state = ''
+  UNION ALL
+  SELECT conv_id, i, next, min(x.cost), arg_min(x.audit, (x.cost, x.audit)), arg_min(x.rows_, (x.cost, x.audit)) FROM (
+    SELECT e.conv_id, e.i, e.cost + price AS cost, e.audit || edits AS audit, e.rows_ || t.rows_ AS rows_, t.next FROM (
+      SELECT w.conv_id, f.i, w.cost + o.price AS cost, w.audit || o.edit AS audit, CASE WHEN o.edit = 'D' THEN w.rows_ ELSE w.rows_ || [CASE WHEN o.edit = 'K' THEN f.role WHEN w.state = 'u' THEN 'assistant' ELSE 'user' END || ':' || f.text] END AS rows_,
+        CASE o.edit WHEN 'D' THEN w.state WHEN 'K' THEN f.c ELSE CASE WHEN w.state = 'u' THEN 'a' ELSE 'u' END END AS state
+      FROM way w JOIN faulty f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = w.i + 1,
+        LATERAL (SELECT unnest(['D', 'K', 'R']) AS edit, unnest([3, (f.fault = 't')::INTEGER, 2 + (f.fault = 't')::INTEGER]) AS price) o
+      WHERE o.edit = 'D' OR f.fault NOT IN ('b', 'd') AND (o.edit = 'R' OR w.state || f.c IN ('s', 'u', 'su', 'ua', 'au'))) e
+    JOIN inserted t USING (state)) x
+  GROUP BY conv_id, i, next),
+best AS (SELECT w.conv_id, arg_min(w.cost, (w.cost, w.audit)) AS cost, arg_min(w.audit, (w.cost, w.audit)) AS audit, arg_min(w.rows_, (w.cost, w.audit)) AS rows_
+  FROM way w JOIN counts c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n WHERE w.state IN ('', 'a') GROUP BY w.conv_id)
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(rows_, E'\n'), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN counts c ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON g.conv_id IS NOT DISTINCT FROM b.conv_id""",
     "op12_infill": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
 k AS (
