@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversation, hnsw, htmltext, infill, lm, mixing, packing, pii, quality, repeats, simhash, tokens
+from . import conversation, hnsw, htmltext, infill, lm, mixing, packing, passages, pii, quality, repeats, simhash, tokens
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,10 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
 
 
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.without_passages(table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Query] = {
     "op1_hnsw": op1_hnsw,
     "op2_simhash": op2_simhash,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op10_html": op10_html,
     "op11_conversation": op11_conversation,
     "op12_infill": op12_infill,
+    "op13_passages": op13_passages,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -209,4 +214,14 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
          ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
   sha256(t) AS restored_sha256
 FROM p""",
+    "op13_passages": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+h AS (SELECT *, list_transform(range(1, greatest(len(w) - 33, 1)), lambda p: md5(array_to_string(w[p:p + 34], ' '))) AS k FROM d),
+u AS (SELECT r, unnest(range(1, len(w) + 1)) AS q, unnest(w) AS word, unnest(k) AS k FROM h),
+c AS (SELECT k FROM u WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1),
+g AS (SELECT r, q, word, max((u.k IS NOT NULL AND c.k IS NOT NULL)::INTEGER) OVER (PARTITION BY r ORDER BY q ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM u LEFT JOIN c ON u.k = c.k),
+t AS (SELECT r, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY q) FILTER (gone = 0) AS kept FROM g GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN t USING (r)""",
 }
