@@ -199,16 +199,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for text, found in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            words = text.split()
-            change = np.zeros(len(words) + 1, np.int64)
-            for x in found or ():
-                last = x["at"] + x["more"]
-                for a, b in zip(x["spans"][::2], x["spans"][1::2], strict=True):
-                    change[x["at"] + a] += 1
-                    change[last + b] -= 1
-            gone = np.cumsum(change)[:-1] > 0
-            kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-            out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept))
+            words, removed = text.split(), 0
+            kept = b" ".join(words)
+            if found:
+                change = np.zeros(len(words) + 2, np.int64)
+                for x in found:
+                    last = x["at"] + x["more"]
+                    for a, b in zip(x["spans"][::2], x["spans"][1::2], strict=True):
+                        change[x["at"] + a] += 1
+                        change[last + b] -= 1
+                gone = np.r_[True, np.cumsum(change)[: len(words)] > 0, True]
+                edge = np.flatnonzero(gone[1:] != gone[:-1]).tolist()
+                left = [x for a, b in zip(edge[::2], edge[1::2], strict=True) for x in words[a:b]]
+                removed, kept = len(words) - len(left), b" ".join(left)
+            out.append((len(words), removed, hashlib.sha256(kept).hexdigest(), kept))
         columns = list(zip(*out, strict=True)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["id", "n_words", "n_removed", "kept_sha256", "kept"])
 
