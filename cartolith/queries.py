@@ -305,6 +305,33 @@ def flatgeobuf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(read_flatgeobuf(spark, path, bbox=(0.0, 5.0, 30.0, 20.0)))
 
 
+def _customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers from FlatGeobuf files of a quarter of a megabyte, in the order of a curve over their extent."""
+    path = _folder(spark, "flatgeobuf")
+    write_flatgeobuf(_customers(spark, sf_dir), path, file_bytes=1 << 18)
+    return read_flatgeobuf(spark, path, boxes=True)
+
+
+def flatgeobuf_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions on boxes, which leave features unfetched, and on a property, after which geometries are decoded."""
+    c = _customer_files(spark, sf_dir).where("bbox.xmin <= 20 AND bbox.xmax >= 10 AND bbox.ymin < 30 AND n > 3")
+    return c.select("k", "n", st.st_x("geometry").alias("x"), st.st_y("geometry").alias("y"))
+
+
+def flatgeobuf_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One property and the boxes; no geometry is decoded."""
+    return _customer_files(spark, sf_dir).groupBy("n").agg(F.count("*").alias("customers"), F.min("bbox.xmin").alias("xmin"), F.max("bbox.ymax").alias("ymax"))
+
+
+def flatgeobuf_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overwritten, then appended to, then read by a shape."""
+    path, s = _folder(spark, "flatgeobuf"), _suppliers(spark, sf_dir)
+    write_flatgeobuf(s, path)
+    write_flatgeobuf(s.where("id % 2 = 0"), path, mode="overwrite")
+    write_flatgeobuf(s.where("id % 2 = 1"), path, mode="append")
+    return _shown(read_flatgeobuf(spark, path, intersects="POLYGON((0 0,20 0,20 20,0 20,0 0))"))
+
+
 def geojson_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "geojson")
     write_geojsonl(_suppliers(spark, sf_dir), path)
@@ -341,6 +368,9 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "geoparquet_round_trip": (geoparquet_round_trip, _ROUND_TRIP + " WHERE s_suppkey % 50 <= 30 AND s_nationkey BETWEEN 5 AND 20"),
     "geoparquet_append": (geoparquet_append, _ROUND_TRIP + " WHERE s_suppkey % 50 <= 20 AND s_nationkey <= 20"),
     "flatgeobuf_round_trip": (flatgeobuf_round_trip, _ROUND_TRIP + " WHERE s_suppkey % 50 <= 30 AND s_nationkey BETWEEN 5 AND 20"),
+    "flatgeobuf_conditions": (flatgeobuf_conditions, f"SELECT k, n, x, y FROM ({_POINTS}) WHERE x BETWEEN 10 AND 20 AND y < 30 AND n > 3"),
+    "flatgeobuf_columns": (flatgeobuf_columns, f"SELECT n, count(*) customers, min(x) xmin, max(y) ymax FROM ({_POINTS}) GROUP BY n"),
+    "flatgeobuf_append": (flatgeobuf_append, _ROUND_TRIP + " WHERE s_suppkey % 50 <= 20 AND s_nationkey <= 20"),
     "geojson_round_trip": (geojson_round_trip, _ROUND_TRIP),
     "window_extents": (
         window_extents,

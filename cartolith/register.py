@@ -38,9 +38,12 @@ def register_all_geohash(spark: SparkSession) -> None:
 
 
 def register_all(spark: SparkSession) -> SparkSession:
-    """All functions, once a session."""
+    """All functions and the file format, once a session."""
+    from .sources import register_sources
+
     if not any(r.function.endswith("st_pointfromgeohash") for r in spark.sql("SHOW USER FUNCTIONS LIKE 'st_pointfromgeohash'").collect()):
         register_all_native(spark)
         register_all_geo(spark)
         register_all_geohash(spark)
+        register_sources(spark)
     return spark

@@ -1,5 +1,6 @@
 """Readers and writers of spatial files."""
 
+from . import flatgeobuf
 from .flatgeobuf import FlatGeobufSource, read_flatgeobuf, write_flatgeobuf
 from .geojson import read_geojson, write_geojsonl
 from .geoparquet import geo_metadata, read_geoparquet, write_geoparquet
@@ -9,4 +10,4 @@ __all__ = ["FlatGeobufSource", "geo_metadata", "read_flatgeobuf", "read_geojson"
 
 def register_sources(spark) -> None:
     """Makes ``spark.read.format("fgb")`` and ``df.write.format("fgb")`` known."""
-    spark.dataSource.register(FlatGeobufSource)
+    flatgeobuf.register(spark)
