@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from ..kernels.curve import hilbert
 from ..kernels.geometry import Geometry, has_m, has_z
 from ..types import ARROW_GEOM, COLLECTION, GEOM, LINESTRING, MEMBER, MULTIPOINT, MULTIPOLYGON, POINT, POLYGON
 from .buffers import Table, root, sized
@@ -392,18 +393,6 @@ def _box(g: Geometry | None) -> list[float] | None:
 # --- writing ------------------------------------------------------------------------------------------
 
 
-def hilbert(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Places of cells of a 65536 by 65536 grid on the Hilbert curve."""
-    x, y, d = x.astype(np.int64), y.astype(np.int64), np.zeros(len(x), np.int64)
-    for bit in reversed(range(16)):
-        right, up = x >> bit & 1, y >> bit & 1
-        d = d * 4 + (3 * right ^ up)
-        flip = (right == 1) & (up == 0)
-        x, y = np.where(flip, 65535 - x, x), np.where(flip, 65535 - y, y)
-        x, y = np.where(up == 1, x, y), np.where(up == 1, y, x)
-    return d
-
-
 #: Bytes of features in a file, after which another one begins.
 FILE_BYTES = 64 << 20
 
