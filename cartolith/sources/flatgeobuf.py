@@ -464,6 +464,8 @@ class _Writer(DataSourceArrowWriter):
         self.node_size = int(options.get("index_node_size", 16))
         self.most = int(options.get("file_bytes", FILE_BYTES))
         self.run = f"_temporary-{uuid.uuid4().hex}"
+        system, _, folder = self._where()
+        system.create_dir(folder, recursive=True)  # not in tasks: one that ends after the write was given up can't bring it back
 
     def _where(self):
         system, where = _open(self.options["path"])
@@ -478,7 +480,6 @@ class _Writer(DataSourceArrowWriter):
             nonlocal features, size
             if features:
                 system, _, folder = self._where()
-                system.create_dir(folder, recursive=True)
                 name = f"part-{uuid.uuid4().hex}.fgb"
                 dim, srid, _ = last
                 with system.open_output_stream(f"{folder}/{name}") as out:
