@@ -17,7 +17,7 @@ from . import functions as st
 from .operators import dump_rows, spatial_join
 from .plans import spatial_filter
 from .register import register_all
-from .sources import read_flatgeobuf, read_geojson, read_geoparquet, write_flatgeobuf, write_geojsonl, write_geoparquet
+from .sources import copy_to, read_flatgeobuf, read_geojson, read_geoparquet, register_table, write_flatgeobuf, write_geojsonl, write_geoparquet
 from .streaming import windowed_extent
 
 _TABLE = re.compile(r"\{(region|nation|customer|supplier|part|orders|lineitem|events)\}")
@@ -332,6 +332,20 @@ def flatgeobuf_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(read_flatgeobuf(spark, path, intersects="POLYGON((0 0,20 0,20 20,0 20,0 0))"))
 
 
+def tables_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copied from SQL to a path of each format, and read from there by SQL."""
+    name = "suppliers_" + uuid.uuid4().hex
+    _suppliers(spark, sf_dir).createOrReplaceTempView(name)
+    parts = []
+    for extension in ("fgb", "geojsonl", "parquet"):
+        path = f"{_folder(spark, 'tables')}/suppliers.{extension}"
+        copy_to(spark, f"SELECT id, s_name, geometry FROM {name} WHERE id % 3 > 0", path)
+        copy_to(spark, f"SELECT id, s_name, geometry FROM {name} WHERE id % 3 = 0", path, mode="append")
+        register_table(spark, f"{name}_{extension}", path)
+        parts.append(f"SELECT '{extension}' extension, CAST(id AS BIGINT) id, s_name, st_astext(geometry) t FROM {name}_{extension}")
+    return spark.sql(" UNION ALL ".join(parts))
+
+
 def geojson_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "geojson")
     write_geojsonl(_suppliers(spark, sf_dir), path)
@@ -371,6 +385,7 @@ FRAMES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "flatgeobuf_conditions": (flatgeobuf_conditions, f"SELECT k, n, x, y FROM ({_POINTS}) WHERE x BETWEEN 10 AND 20 AND y < 30 AND n > 3"),
     "flatgeobuf_columns": (flatgeobuf_columns, f"SELECT n, count(*) customers, min(x) xmin, max(y) ymax FROM ({_POINTS}) GROUP BY n"),
     "flatgeobuf_append": (flatgeobuf_append, _ROUND_TRIP + " WHERE s_suppkey % 50 <= 20 AND s_nationkey <= 20"),
+    "tables_by_path": (tables_by_path, f"SELECT extension, id, s_name, t FROM ({_ROUND_TRIP}), (VALUES ('fgb'), ('geojsonl'), ('parquet')) AS e(extension)"),
     "geojson_round_trip": (geojson_round_trip, _ROUND_TRIP),
     "window_extents": (
         window_extents,
