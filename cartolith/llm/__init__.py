@@ -1 +1 @@
-"""Training-data operators: ten corpus operators, their queries and their oracle SQL."""
+"""Training-data operators: thirteen corpus operators, their queries and their oracle SQL."""
