@@ -9,9 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..kernels import geojson, shapes, validity, wkb, wkt
+from ..kernels import geojson, shapes, validity
 from ..kernels.relate import PREDICATES, Shape, relate
 from ..types import ARROW_GEOM, GEOM
+from . import codecs
 from .arrays import Column, decode, encode
 
 _OUT = {"geom": (GEOM, ARROW_GEOM), "string": (T.StringType(), pa.string()), "double": (T.DoubleType(), pa.float64()), "boolean": (T.BooleanType(), pa.bool_()), "binary": (T.BinaryType(), pa.binary())}
@@ -94,12 +95,7 @@ def _relate_batch(a: pa.Array, b: pa.Array) -> pa.Array:
 
 #: name -> (result, kernel, arguments)
 KERNELS: dict[str, tuple[str, Callable, int]] = {
-    "_py_geomfromtext": ("geom", wkt.read, 1),
     "_py_geomfromgeojson": ("geom", geojson.read, 1),
-    "_py_astext": ("string", wkt.write, 1),
-    "st_geomfromwkb": ("geom", wkb.read, 1),
-    "st_wkbtosql": ("geom", wkb.read, 1),
-    "st_asbinary": ("binary", wkb.write, 1),
     "_py_distance": ("double", shapes.distance, 2),
     "_py_convexhull": ("geom", shapes.convex_hull, 1),
     "_py_concavehull": ("geom", shapes.concave_hull, 2),
@@ -110,7 +106,24 @@ KERNELS: dict[str, tuple[str, Callable, int]] = {
     "_py_isvalidreason": ("string", validity.reason, 1),
 }
 
-UDFS = {name: _function(*spec) for name, spec in KERNELS.items()}
+#: name -> (result, function of whole columns)
+CODECS: dict[str, tuple[str, Callable[[pa.Array], pa.Array]]] = {
+    "_py_geomfromtext": ("geom", codecs.read_wkt),
+    "_py_astext": ("string", codecs.write_wkt),
+    "st_geomfromwkb": ("geom", codecs.read_wkb),
+    "st_wkbtosql": ("geom", codecs.read_wkb),
+    "st_asbinary": ("binary", codecs.write_wkb),
+}
+
+
+def _columns(kind: str, codec: Callable[[pa.Array], pa.Array]):
+    def f(a: pa.Array) -> pa.Array:
+        return codec(a)
+
+    return F.arrow_udf(f, _OUT[kind][0])
+
+
+UDFS = {name: _function(*spec) for name, spec in KERNELS.items()} | {name: _columns(*spec) for name, spec in CODECS.items()}
 UDFS["_py_predicate"] = F.arrow_udf(_predicate_batch, T.BooleanType())
 UDFS["_py_relate"] = F.arrow_udf(_relate_batch, T.StringType())
 
@@ -120,9 +133,9 @@ def _extent(g: pa.Array) -> float:
     if not len(coords):
         return None
     x, y = pc.min_max(coords.field("x")), pc.min_max(coords.field("y"))
-    return [x["min"].as_py(), y["min"].as_py(), x["max"].as_py(), y["max"].as_py()]
+    return {"xmin": x["min"].as_py(), "ymin": y["min"].as_py(), "xmax": x["max"].as_py(), "ymax": y["max"].as_py()}
 
 
-#: Grouped extent for SQL: an array of xmin, ymin, xmax, ymax. It gathers a group in one task; the
-#: DataFrame function ``extent`` doesn't.
-EXTENT = F.arrow_udf(_extent, T.ArrayType(T.DoubleType()))
+#: Grouped extent for SQL: the struct that the DataFrame function ``extent`` gives. It gathers a group in one task;
+#: ``extent`` doesn't.
+EXTENT = F.arrow_udf(_extent, T.StructType([T.StructField(n, T.DoubleType()) for n in ("xmin", "ymin", "xmax", "ymax")]))

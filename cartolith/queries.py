@@ -52,6 +52,13 @@ SQL: dict[str, tuple[str, str]] = {
         "st_geomfromtext(concat('MULTIPOINT((0 0),(10 0),(10 10),(0 10),(5 ', p_partkey % 4 + 1, '))')) g FROM {part})",
         "SELECT p_partkey k, 100.0::DOUBLE - 5 * (p_partkey % 4 + 1) dug, 100.0::DOUBLE whole, 6 n FROM part",
     ),
+    # grids in the form of an L, one cell wide: the triangles in its notch all have longer outer edges than its cells
+    "concave_hull_of_grids": (
+        "SELECT k, round(st_area(st_concavehull(g, 0.02D)), 6) dug, round(st_area(st_concavehull(g, 1D)), 6) whole, st_npoints(st_concavehull(g, 0.02D)) n FROM (SELECT s_suppkey k, "
+        "st_geomfromtext(concat('MULTIPOINT(', array_join(transform(filter(sequence(0, (a + 1) * (b + 1) - 1), i -> i % (a + 1) < 2 OR i div (a + 1) < 2), i -> concat(i % (a + 1), ' ', i div (a + 1))), ','), ')')) g "
+        "FROM (SELECT s_suppkey, CAST(s_suppkey % 6 + 3 AS INT) a, CAST(s_suppkey % 5 + 3 AS INT) b FROM {supplier}))",
+        "SELECT s_suppkey k, (a + b - 1)::DOUBLE dug, a * b - (a - 1) * (b - 1) / 2.0::DOUBLE whole, (2 * a + 2 * b + 1)::INT n FROM (SELECT s_suppkey, s_suppkey % 6 + 3 a, s_suppkey % 5 + 3 b FROM supplier)",
+    ),
     # the triangle of the second point has an area of 2.5, that of the third one of 45
     "preserve_topology": (
         "SELECT k, st_astext(st_simplifypreservetopology(g, 3D)) t, st_astext(st_simplifypreservetopology(g, 1D)) u, st_npoints(st_simplifypreservetopology(r, 1000D)) n FROM (SELECT n_nationkey k, "
@@ -203,7 +210,7 @@ SELECT k, array_to_string(list_transform(range(0, 12), lambda i: substr('{_B32}'
         "SELECT t FROM (SELECT 'POINT(' || (s_suppkey % 50) || ' ' || s_nationkey || ')' t FROM supplier UNION SELECT 'POINT(' || n_nationkey || ' ' || n_regionkey || ')' FROM nation) EXCEPT SELECT 'POINT(' || n_nationkey || ' 1)' FROM nation",
     ),
     "st_extent_sql": (
-        "SELECT n, e[0] x0, e[1] y0, e[2] x1, e[3] y1 FROM (SELECT n, st_extent(st_point(x, y)) e FROM (" + _CUSTOMER + ") GROUP BY n)",
+        "SELECT n, e.xmin x0, e.ymin y0, e.xmax x1, e.ymax y1 FROM (SELECT n, st_extent(st_point(x, y)) e FROM (" + _CUSTOMER + ") GROUP BY n)",
         "SELECT n, min(x) x0, min(y) y0, max(x) x1, max(y) y1 FROM (" + _CUSTOMER_DUCK + ") GROUP BY n",
     ),
 }
