@@ -40,6 +40,15 @@ MARKED = (
     (3, 0.0, 2, 1.0, 2, 1.0, 1, 0, 1), (6, 0.5, 3, 0.5, 0, 0.0, 1, 0, 1), (60, 0.7, 50, 0.0, 1, 1.0, 1, 0, 1),
 )
 
+#: Labelled blocks, made up, of pages without signs of regions: long lists of links are furniture, text with some links isn't, also
+#: beside lists of links.
+LINKED = (
+    (30, 0.95, 25, 0.9, 28, 1.0, 0, 0, 0), (18, 1.0, 20, 1.0, 0, 0.0, 0, 0, 0), (45, 0.8, 40, 0.9, 35, 0.85, 0, 0, 0), (24, 0.7, 30, 0.0, 20, 1.0, 0, 0, 0),
+    (60, 0.9, 9, 0.0, 50, 0.9, 0, 0, 0), (22, 0.6, 25, 0.7, 30, 0.65, 0, 0, 0), (120, 1.0, 4, 0.0, 15, 0.0, 0, 0, 0), (20, 0.9, 60, 0.0, 80, 0.0, 0, 0, 0),
+    (30, 0.2, 40, 0.1, 28, 0.3, 0, 0, 1), (50, 0.3, 30, 0.0, 45, 0.0, 0, 0, 1), (26, 0.1, 20, 1.0, 35, 0.0, 0, 0, 1), (80, 0.15, 60, 0.2, 2, 1.0, 0, 0, 1),
+    (40, 0.0, 3, 1.0, 50, 0.0, 0, 0, 1), (35, 0.05, 45, 0.0, 3, 1.0, 0, 0, 1), (90, 0.0, 30, 1.0, 25, 1.0, 0, 0, 1), (28, 0.25, 20, 0.2, 20, 0.9, 0, 0, 1),
+)
+
 #: Labelled blocks of the 50 pages of the 0.01 table whose id is divisible by 5, their regions withheld: 40 of the
 #: distinct ones inside articles, 40 of the others, drawn with seed 0.
 WITHHELD = (
@@ -69,7 +78,7 @@ WITHHELD = (
 
 #: Made-up blocks count as often as this, so that a region, where a page shows one, decides.
 MARKED_WEIGHT = 6
-LABELLED = MARKED * MARKED_WEIGHT + WITHHELD
+LABELLED = MARKED * MARKED_WEIGHT + LINKED + WITHHELD
 
 
 def train(rows=LABELLED, depth: int = 6):
@@ -124,62 +133,147 @@ STRONG_TAGS, WEAK_TAGS = frozenset("nav aside footer dialog menu head".split()),
 STRONG_ROLES = frozenset("navigation complementary contentinfo search dialog alertdialog alert menu menubar".split())
 STRONG_WORDS = frozenset("comment comments commentlist disqus reply replies respond ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted cookie cookies consent gdpr sidebar breadcrumb breadcrumbs navbar nav navigation menu footer newsletter subscribe subscription share sharing social related recommended recommendations popup modal overlay notice notices pagination pager toolbar login signin signup search widget banner teaser teasers trending popular tags legal copyright disclaimer".split())
 WEAK_WORDS = frozenset("header masthead topbar alert announcement form".split())
+#: Those of the former that wrappers of whole pages are also named by: furniture unless an article stands inside.
+WRAPPER_WORDS = frozenset("widget overlay modal popup toolbar banner search share sharing tags login signin signup".split())
+#: Text-level elements are furniture by name only where all words of a name say so.
+TEXT_TAGS = frozenset("p blockquote figure pre table".split()) | HEADINGS
 ARTICLE_WORDS = frozenset("article content post entry story main body".split())
 _NEGATION = frozenset("with has no without is not".split())
 
 
-def _names(value: str) -> set[str]:
-    found = set()
+def _names(value: str) -> Iterator[set[str]]:
+    """The words of each name of a class or id."""
     for token in value.split():
         words = [w for w in re.split(r"[-_:]+|(?<=[a-z])(?=[A-Z])", token) if w]
         if words and words[0].lower() not in _NEGATION:
-            found.update(w.lower() for w in words)
-    return found
-
-
-def _signals(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
-    """Of an element: strongly furniture, weakly furniture, an article element, an article by name."""
-    strong, weak, article, named = tag in STRONG_TAGS, tag in WEAK_TAGS, tag in ("article", "main"), False
-    if attributes and tag not in ("body", "html"):
-        for m in _ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key in ("class", "id"):
-                words = _names(value)
-                strong |= bool(words & STRONG_WORDS)
-                weak |= bool(words & WEAK_WORDS)
-                named |= bool(words & ARTICLE_WORDS)
-            elif key == "role":
-                strong |= value.lower() in STRONG_ROLES
-                weak |= value.lower() == "banner"
-                article |= value.lower() in ("main", "article")
-            elif key == "style":
-                strong |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-            elif key == "aria-hidden":
-                strong |= value.lower() == "true"
-            else:
-                strong |= tag not in INLINE
-    return strong, weak, article, named and not strong
-
-
-def _region(stack: list[tuple]) -> int:
-    """Strong signs count anywhere above. Of weak ones, forms count unless an article stands inside them,
-    page heads unless an article stands inside or around them: the head of an article is part of it."""
-    head = named = article = False
-    for tag, (strong, weak, is_article, by_name) in reversed(stack):
-        if strong or weak and not article and tag in ("form", "fieldset"):
+            yield {w.lower() for w in words}
+
+
+class _Signals:
+    """What an element's tag and attributes say: strongly, weakly or as a wrapper furniture, or an article, by itself or by name."""
+
+    __slots__ = ("strong", "weak", "enclosing", "article", "named")
+
+    def __init__(self, tag: str = "", attributes: str = ""):
+        self.strong, self.weak, self.article = tag in STRONG_TAGS, tag in WEAK_TAGS, tag in ("article", "main")
+        self.enclosing = tag in ("form", "fieldset")
+        furniture, named = set(), False
+        if attributes and tag not in ("body", "html"):
+            for m in _ATTRIBUTE.finditer(attributes):
+                key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+                if key in ("class", "id"):
+                    for words in _names(value):
+                        found = words & STRONG_WORDS
+                        if found and (tag not in TEXT_TAGS or found == words):
+                            furniture |= found
+                        self.weak |= bool(words & WEAK_WORDS)
+                        # a name of both kinds is of a part of an article: post-comments
+                        named |= bool(words & ARTICLE_WORDS) and not found
+                elif key == "role":
+                    self.strong |= value.lower() in STRONG_ROLES
+                    self.weak |= value.lower() == "banner"
+                    self.article |= value.lower() in ("main", "article")
+                elif key == "style":
+                    self.strong |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+                elif key == "aria-hidden":
+                    self.strong |= value.lower() == "true"
+                else:
+                    self.strong |= tag not in INLINE
+        # names that disagree don't decide: an article stays one, another element is left to the tree
+        if furniture and not named:
+            wrapper = furniture <= WRAPPER_WORDS
+            self.strong |= not wrapper
+            self.weak |= wrapper and not self.article
+            self.enclosing |= wrapper and not self.article
+        self.enclosing &= self.weak
+        self.named = named and not furniture and not self.strong
+
+
+class _Above:
+    """What the open elements say together, from the outermost to one of them.
+
+    Strong signs count anywhere above. Of weak ones, forms and wrappers count unless an article stands inside them,
+    page heads unless an article stands inside or around them: the head of an article is part of it.
+    """
+
+    __slots__ = ("strong", "enclosed", "article", "head", "named", "loose")
+
+    def __init__(self, above: _Above | None = None, own: _Signals | None = None, loose: int = 0):
+        self.strong = self.enclosed = self.article = self.head = self.named = False
+        self.loose = loose
+        if above and own:
+            self.strong = above.strong or own.strong
+            self.enclosed = above.enclosed and not own.article or own.enclosing
+            self.article = above.article or own.article
+            self.head = above.head or own.weak
+            self.named = above.named or own.named
+
+    @property
+    def region(self) -> int:
+        if self.strong or self.enclosed:
             return -1
-        head |= weak
-        named |= by_name
-        article |= is_article
-    if article:
-        return 1
-    return -1 if head else int(named)
+        if self.article:
+            return 1
+        return -1 if self.head else int(self.named)
+
+
+#: A bit for each of the containers whose end is often left out.
+_BIT = {tag: 1 << i for i, tag in enumerate(sorted(LOOSE))}
+
+
+class _Open:
+    """The open elements. Every step takes time by what it opens and closes, however many are open."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.above = [_Above()]
+        self.count: dict[str, int] = {}
+
+    def push(self, tag: str, own: _Signals) -> None:
+        # containers of that kind that are open since the last other element
+        loose = self.above[-1].loose | _BIT[tag] if tag in LOOSE else 0
+        self.tags.append(tag)
+        self.above.append(_Above(self.above[-1], own, loose))
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def pop(self) -> str:
+        tag = self.tags.pop()
+        self.above.pop()
+        self.count[tag] -= 1
+        return tag
+
+    def close(self, tag: str) -> None:
+        """Closes the innermost element of that tag and all inside it; a loose one only if none but loose ones are inside it."""
+        if self.above[-1].loose & _BIT[tag] if tag in LOOSE else self.count.get(tag):
+            while self.pop() != tag:
+                pass
+
+    @property
+    def top(self) -> str:
+        return self.tags[-1] if self.tags else ""
+
+    @property
+    def region(self) -> int:
+        return self.above[-1].region
+
+    @property
+    def heading(self) -> bool:
+        return any(t in HEADINGS for t in self.tags[-2:])
+
+
+def _tokens(page: str) -> Iterator[tuple[re.Match, int]]:
+    """Tags, comments and raw elements, and where each ends. None starts after the last ``>`` but an unclosed comment; looking
+    for others there would go to the end of the page from each ``<``."""
+    stop = page.rfind(">") + 1
+    for m in _TOKEN.finditer(page, 0, stop):
+        unclosed = m.end() == stop and (m[1] and not m[0][:-1].rstrip().lower().endswith("</" + m[1].lower()) or m[0].startswith("<!--") and not m[0].endswith("-->", 4))
+        yield m, len(page) if unclosed else m.end()
 
 
 def blocks(page: str) -> list[tuple[str, list[float]]]:
     """Text blocks in page order, decoded and with single blanks, and their features."""
     found: list[list] = []
-    stack: list[tuple] = []
+    opened = _Open()
     words: list[str] = []
     linked = 0
     in_link, heading, region = 0, False, 0
@@ -206,10 +300,10 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         linked = 0
 
     end = 0
-    for m in _TOKEN.finditer(page):
+    for m, stop in _tokens(page):
         if m.start() > end:
             parts.append(page[end : m.start()])
-        end = m.end()
+        end = stop
         tag = m[3] or m[6]
         if not tag:
             if m[1] and m[1].lower() not in ("svg", "math"):
@@ -223,35 +317,33 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
-            if attributes and not closing and tag not in VOID and _signals(tag, attributes)[0] and re.search(r"hidden|none", attributes):
-                stack.append((tag, (True, False, False, False)))
+            if attributes and not closing and tag not in VOID and _Signals(tag, attributes).strong and re.search(r"hidden|none", attributes):
+                hidden = _Signals()
+                hidden.strong = True
+                opened.push(tag, hidden)
                 close()
-                region = _region(stack)
-            elif closing and stack and stack[-1][0] == tag:
+                region = opened.region
+            elif closing and opened.top == tag:
                 close()
-                stack.pop()
-                region = _region(stack)
+                opened.pop()
+                region = opened.region
             continue
         close()
         in_link = 0
         if tag in VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag in LOOSE and stack[k][0] not in LOOSE:
-                    break
+            opened.close(tag)
         else:
-            if tag in LOOSE and stack and stack[-1][0] in LOOSE and (stack[-1][0] == tag or tag in ("p", *HEADINGS) and stack[-1][0] in ("p", *HEADINGS) or {tag, stack[-1][0]} <= {"dt", "dd"} or {tag, stack[-1][0]} <= {"td", "th"}):
-                stack.pop()
+            top = opened.top
+            if tag in LOOSE and top in LOOSE and (top == tag or tag in ("p", *HEADINGS) and top in ("p", *HEADINGS) or {tag, top} <= {"dt", "dd"} or {tag, top} <= {"td", "th"}):
+                opened.pop()
             if not attributes.rstrip().endswith("/"):
-                stack.append((tag, _signals(tag, attributes)))
-        heading = any(t in HEADINGS for t, _ in stack[-2:])
-        region = _region(stack)
-    rest = page[end:]
-    if rest and not re.match(r"<[!/a-zA-Z]", rest):
+                opened.push(tag, _Signals(tag, attributes))
+        heading = opened.heading
+        region = opened.region
+    rest, comment, _ = page[end:].partition("<!--")
+    if rest and (comment or not re.match(r"<[!/a-zA-Z]", rest)):
         parts.append(rest)
     close()
     out = []
