@@ -40,12 +40,15 @@ MARKED = (
     (3, 0.0, 2, 1.0, 2, 1.0, 1, 0, 1), (6, 0.5, 3, 0.5, 0, 0.0, 1, 0, 1), (60, 0.7, 50, 0.0, 1, 1.0, 1, 0, 1),
 )
 
-#: Labelled blocks, made up, of pages without signs of regions: long lists of links are furniture, text with some links isn't, also
-#: beside lists of links.
+#: Labelled blocks, made up, of pages without signs of regions: long lists of links and their headings are furniture, text with some
+#: links and its headings aren't, also beside lists of links.
 LINKED = (
     (30, 0.95, 25, 0.9, 28, 1.0, 0, 0, 0), (18, 1.0, 20, 1.0, 0, 0.0, 0, 0, 0), (45, 0.8, 40, 0.9, 35, 0.85, 0, 0, 0), (24, 0.7, 30, 0.0, 20, 1.0, 0, 0, 0),
     (60, 0.9, 9, 0.0, 50, 0.9, 0, 0, 0), (22, 0.6, 25, 0.7, 30, 0.65, 0, 0, 0), (120, 1.0, 4, 0.0, 15, 0.0, 0, 0, 0), (20, 0.9, 60, 0.0, 80, 0.0, 0, 0, 0),
     (30, 0.2, 40, 0.1, 28, 0.3, 0, 0, 1), (50, 0.3, 30, 0.0, 45, 0.0, 0, 0, 1), (26, 0.1, 20, 1.0, 35, 0.0, 0, 0, 1), (80, 0.15, 60, 0.2, 2, 1.0, 0, 0, 1),
+    (40, 1.0, 40, 1.0, 0, 0.0, 0, 0, 0), (25, 0.9, 50, 0.0, 0, 0.0, 0, 0, 0), (21, 1.0, 8, 0.0, 0, 0.0, 0, 0, 0), (70, 0.85, 20, 0.9, 4, 0.0, 0, 0, 0),
+    (2, 0.0, 30, 0.0, 1, 1.0, 0, 1, 0), (1, 0.0, 40, 0.0, 12, 1.0, 0, 1, 0), (3, 0.0, 3, 1.0, 4, 1.0, 0, 1, 0), (4, 0.0, 60, 0.0, 30, 0.9, 0, 1, 0),
+    (3, 0.0, 2, 1.0, 40, 0.0, 0, 1, 1), (4, 0.0, 1, 1.0, 60, 0.0, 0, 1, 1), (6, 0.0, 1, 1.0, 30, 0.1, 0, 1, 1), (2, 0.0, 30, 1.0, 25, 0.0, 0, 1, 1),
     (40, 0.0, 3, 1.0, 50, 0.0, 0, 0, 1), (35, 0.05, 45, 0.0, 3, 1.0, 0, 0, 1), (90, 0.0, 30, 1.0, 25, 1.0, 0, 0, 1), (28, 0.25, 20, 0.2, 20, 0.9, 0, 0, 1),
 )
 
