@@ -46,6 +46,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy rejects, and what it alone rejects."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op5_surrogates": op5_surrogates,
     "op6_mixing_model": op6_mixing_model,
     "op7_quality": op7_quality,
+    "quality_ablations": quality_ablations,
     "op8_tokens": op8_tokens,
     "op9_repeats": op9_repeats,
     "op10_html": op10_html,
@@ -225,3 +231,15 @@ t AS (SELECT r, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY q)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN t USING (r)""",
 }
+
+#: The measurements of op7_quality, then each rule's failures.
+ORACLE["quality_ablations"] = (
+    ORACLE["op7_quality"].rpartition("SELECT doc_id, n_words")[0].rstrip()
+    + """,
+f AS (SELECT [n_words < 50, 100 * n_repeat_words > 50 * n_words, 100 * n_symbols > 5 * word_chars, n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines,
+  100 * n_exclamations > 60 * n_words, word_chars < 2 * n_words OR word_chars > 20 * n_words] AS failed FROM m),
+e AS (SELECT unnest(['short', 'repeated_windows', 'symbols', 'repeated_lines', 'exclamations', 'word_length']) AS rule, unnest(range(1, 7)) AS k)
+SELECT rule, (count(*) FILTER (failed[k]))::BIGINT AS n_failed,
+  (count(*) FILTER (failed[k] AND len(list_filter(failed, lambda x: x)) = 1))::BIGINT AS n_only_this
+FROM f, e GROUP BY rule"""
+)

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -47,6 +48,18 @@ def test_policies_and_ablations(spark):
     assert {r.rule for r in quality.ablations(rows).collect()} == set(quality.RULES)
 
 
+def test_ablations_as_their_sql_says(spark):
+    import duckdb
+
+    from cartolith.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet{'/*.parquet' if os.path.isdir(SF + '/documents.parquet') else ''}'")
+    want = con.execute(f"SELECT rule, n_failed, n_only_this FROM ({queries.ORACLE['quality_ablations']})").fetchall()
+    got = queries.quality_ablations(spark, SF).select("rule", "n_failed", "n_only_this").collect()
+    assert sorted(want) == sorted(map(tuple, got)) and len(want) == 6 and any(n for _, n, _ in want)
+
+
 def test_clean_documents_stay_and_junk_goes(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
