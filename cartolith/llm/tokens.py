@@ -172,20 +172,52 @@ def rank_encoder(path: str):
     return tiktoken.Encoding("words", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}), [t.encode() for t in added]
 
 
-class WordIds(WordCache):
-    """Ids of a word after a fixed prefix, as little-endian 32-bit bytes."""
+class WordIds:
+    """Ids, as little-endian 32-bit bytes, of words that follow a blank and, after a line end, with that of words that
+    begin a line. Two generations, as in ``WordCache``; the new words of a text are encoded together, one a line."""
 
-    def __init__(self, tokenizer, prefix: str, ranks):
-        super().__init__()
-        self.tokenizer, self.prefix = tokenizer, prefix
+    def __init__(self, tokenizer, ranks):
+        self.tokenizer = tokenizer
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.fast, self.special = ranks or (None, [])
-
-    def encode(self, word: bytes) -> bytes:
-        text = self.prefix + word.decode("utf-8", "replace")
-        if self.fast is None or any(t in word for t in self.special):
-            return encode(self.tokenizer, text)
-        ids = self.fast.encode_ordinary(text)
-        return struct.pack(f"<{len(ids)}I", *ids)
+        self.line_end = encode(tokenizer, "\n")
+        self.line_id = np.frombuffer(self.line_end, "<u4")[0]
+
+    def __call__(self, words: list[bytes]) -> bytes:
+        ids = list(map(self.known.get, words))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        if missing:
+            found = self.find({words[i] for i in missing})
+            for i in missing:
+                ids[i] = found[words[i]]
+        return b"".join(ids)
+
+    def find(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that aren't known, which become known unless they are long."""
+        old = self.old
+        found = {w: old[w] for w in words if w in old}
+        new = list(words.difference(found)) if found else list(words)
+        if new:
+            found.update(zip(new, self.encode(new), strict=True))
+        if len(self.known) >= 2 * CACHE_WORDS:
+            self.old, self.known = self.known, {}
+        self.known.update(found if max(map(len, found)) <= CACHED_BYTES else {w: x for w, x in found.items() if len(w) <= CACHED_BYTES})
+        return found
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        together = b"".join([w if w[0] == 10 else b"\n " + w for w in words])
+        # white space at a word's ends would join the line ends
+        if self.fast is None or any(map(together.__contains__, self.special)) or any(map(together.__contains__, _WIDE_BYTES)) and _BESIDE.search(together + b"\n"):
+            if len(words) > 1:
+                half = len(words) // 2
+                return self.encode(words[:half]) + self.encode(words[half:])
+            text = words[0].decode("utf-8", "replace")
+            return [self.line_end + encode(self.tokenizer, text[1:]) if text[0] == "\n" else encode(self.tokenizer, " " + text)]
+        ids = self.fast.encode_to_numpy(together.decode("utf-8", "replace")).astype("<u4", copy=False)
+        at = (np.flatnonzero(ids == self.line_id) * 4).tolist()
+        packed = ids.tobytes()
+        return [packed[start if w[0] == 10 else start + 4 : end] for w, start, end in zip(words, at, [*at[1:], len(packed)], strict=True)]
 
 
 def encode(tokenizer, text: str) -> bytes:
@@ -199,16 +231,12 @@ class ByteEncoder:
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
         ranks = rank_encoder(path)
-        self.first, self.next = WordIds(self.tokenizer, "", ranks), WordIds(self.tokenizer, " ", ranks)
-        self.line_end = encode(self.tokenizer, "\n")
+        self.words = WordIds(self.tokenizer, ranks)
 
     def __call__(self, text: bytes) -> bytes:
         if not text:
             return b""
         if text[0] in b" \n" or text[-1] in b" \n" or any(map(text.__contains__, _BOUND)) or any(map(text.__contains__, _WIDE_BYTES)) and _BESIDE.search(text):
             return encode(self.tokenizer, text.decode("utf-8", "replace"))
-        first, after, lines = self.first.__getitem__, self.next.__getitem__, []
-        for line in text.split(b"\n"):
-            head, *rest = line.split(b" ")
-            lines.append(first(head) + b"".join(map(after, rest)))
-        return self.line_end.join(lines)
+        words = (b"\n" + text).replace(b"\n", b" \n").split(b" ")[1:]
+        return self.words(words)[len(self.words.line_end) :]

@@ -142,3 +142,26 @@ def test_ids_of_many_strings():
     texts += [a + b + c for a in pieces for b in pieces for c in pieces]
     want = tokens.load_tokenizer(path).encode_batch(texts, add_special_tokens=False)
     assert not [t for t, w in zip(texts, want, strict=True) if encoder(t.encode()) != np.array(w.ids, "<u4").tobytes()]
+
+
+def test_new_words_of_a_text_are_encoded_together(monkeypatch):
+    """One call for a text, not one for a word; words at ends of lines, long and odd ones keep their ids."""
+    encoder = tokens.ByteEncoder(tokens.vocabulary_path("byte_bpe_50k.json"))
+    calls = []
+    plain = encoder.words.fast
+
+    class Counted:
+        def __getattr__(self, name):
+            def call(text):
+                calls.append(text)
+                return getattr(plain, name)(text)
+
+            return call
+
+    encoder.words.fast = Counted()
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 150)
+    for k in range(8):
+        text = "\n".join(" ".join(f"w{k * j}x{i}é's" for i in range(9)) + f" {'long' * 40}{j} a　wide　x{j}" for j in range(12))
+        assert encoder(text.encode()) == tokens.encode(encoder.tokenizer, text)
+        assert not [w for w in encoder.words.known if len(w) > tokens.CACHED_BYTES]
+    assert len(calls) <= 8
