@@ -72,3 +72,34 @@ def test_probabilities_of_the_next_token_sum_to_one(small, n):
     before = model.score(np.array(context))
     total = sum(10 ** (model.score(np.array([*context, leaf])) - before) for leaf in range(model.leaves + 1))
     assert total == pytest.approx(1, rel=1e-4)
+
+
+def test_starting_weights_are_those_of_all_training_documents(spark, make_docs, monkeypatch):
+    """Texts of one kind are longer than any limit on a fit's sample, yet they alone tell what weights a gate has."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 300) % 500) for _ in range(40)] + ["x y " * 60_000]
+    docs = make_docs([(i, t, "s") for i, t in enumerate(texts)]).repartition(5)
+    seen = {}
+    fit = lm.Model.fit
+    monkeypatch.setattr(lm.Model, "fit", lambda self, cell, n: (seen.update(zip(cell.tolist(), n.tolist(), strict=True)), fit(self, cell, n))[1])
+    model, _, ranked = lm.train(docs, lm.Scratch(spark), "doc_id", "text")
+    training = [np.frombuffer(r.ranks, np.int32) for r in ranked.where("NOT held_out").collect()]
+    assert sum(seen.values()) == sum(int(model.length[np.minimum(x, model.leaves)].sum()) for x in training)
+    assert ranked.where("NOT held_out").count() == sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts)))
+
+
+def test_scores_of_texts_together_are_those_of_each(small):
+    rng = np.random.default_rng(2)
+    words = [b"", *(f"w{i}".encode() for i in range(300))]
+    counts = np.sort(rng.integers(1, 1000, len(words)))[::-1]
+    model = lm.Model(words, counts, int(counts.sum()) + 500, len(words) + 40)
+    model.learn(rng.integers(0, 50, (2, 2, 1 << lm.SLOT_BITS)).astype(np.int64))
+    ranks = [rng.integers(0, 302, n).astype(np.int32) for n in (0, 1, 31, 32, 33, 64, 65, 1023, 1024, 1025, 2048, 3000)]
+    assert model.scores(ranks) == pytest.approx([model.score(x) for x in ranks], rel=1e-6)
+    cells = sum(model.cells(*lm._joined([x])) for x in ranks)
+    assert np.array_equal(model.cells(*lm._joined(ranks)), cells)
+    one, many = (np.zeros((2, 2 << lm.SLOT_BITS), np.int64) for _ in range(2))
+    model.count(*lm._joined(ranks), many)
+    for x in ranks:
+        model.count(*lm._joined([x]), one)
+    assert np.array_equal(one, many)
