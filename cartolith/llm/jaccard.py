@@ -4,7 +4,9 @@ Prefix filter: with the shingles of all sets in one order, two sets of similarit
 the first n - ceil(t n) + 1 of each. The order is by hash, with the most common shingles last, so most
 buckets are small. Pairs of a bucket are first held against what the prefixes leave possible, then
 compared by whole sets. Equal sets are one node. Large buckets are first compared with leaders, so that
-groups of copies become one component, then all pairs of different components. No pair is lost.
+groups of copies become one component, then all pairs of different components. There a pair becomes a row only
+if the parities of both sets' shingles in ``SKETCH`` places differ in no more places than similar sets may in
+shingles. No pair is lost.
 Shingles are told apart by 64-bit hashes, sets and rows by 128 bits.
 """
 
@@ -27,6 +29,8 @@ SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 SAMPLE, COMMON_DOCS, COMMON = 8, 3, 1 << 19
 #: Buckets up to this size give all their pairs at once; larger ones after so many rounds of leaders.
 SHORT_RUN, LEADER_ROUNDS = 32, 3
+#: Places of a set's sketch, a multiple of 64: sets of up to about 2.3 times as many shingles are told apart by it.
+SKETCH = 1024
 #: Pairs of an output batch, about.
 PAIRS = 1 << 16
 
@@ -45,6 +49,12 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)], dtype=np.uint64))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each place: sets differ in at least as many shingles as sketches in places."""
+    odd = np.bincount((s % np.uint64(SKETCH)).astype(np.intp), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     bounds = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.empty(0, np.uint64), *rows]).view(np.int64)))
@@ -80,7 +90,7 @@ def _prefixes(shingle: int, ratio: Fraction, common) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = common.value
         for batch in batches:
-            d1, d2, sizes, prints, prefixes = [], [], [], [], []
+            d1, d2, sizes, prints, prefixes, sketches = [], [], [], [], [], []
             for text in batch.column(3):
                 s = shingles(text.as_py(), shingle)
                 whole = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -88,13 +98,14 @@ def _prefixes(shingle: int, ratio: Fraction, common) -> Callable:
                 d2.append(whole & (1 << 64) - 1)
                 sizes.append(len(s))
                 prints.append(simhash_bits(s))
+                sketches.append(sketch(s))
                 late = np.zeros(len(s), bool)
                 if len(last):
                     late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                 n = len(s) - -(-ratio.numerator * len(s) // ratio.denominator) + 1 if len(s) else 0
                 prefixes.append(np.concatenate([s[~late], s[late]])[:n])
-            arrays = [*batch.columns[:3], *(pa.array(np.array(d, np.uint64).view(np.int64)) for d in (d1, d2, prints)), pa.array(sizes, pa.int64()), _lists(prefixes)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "h1", "h2", "d1", "d2", "print", "size", "prefix"])
+            arrays = [*batch.columns[:3], *(pa.array(np.array(d, np.uint64).view(np.int64)) for d in (d1, d2, prints)), pa.array(sizes, pa.int64()), _lists(prefixes), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "h1", "h2", "d1", "d2", "print", "size", "prefix", "sketch"])
 
     return run
 
@@ -112,7 +123,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of sorted partitions, cut where the first one changes."""
     held = None
     for batch in batches:
-        now = [c.to_numpy() for c in batch.columns]
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
         cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
         if cut:
@@ -126,6 +137,11 @@ def _close_sizes(a: np.ndarray, b: np.ndarray, ratio: Fraction) -> np.ndarray:
     return np.minimum(a, b) * ratio.denominator >= np.maximum(a, b) * ratio.numerator
 
 
+def _close_sketches(a: np.ndarray, b: np.ndarray, total: np.ndarray, ratio: Fraction) -> np.ndarray:
+    """Whether sets of so many shingles together may be similar: such sets differ in (1 - t) / (1 + t) of them at most."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) * (ratio.denominator + ratio.numerator) <= total * (ratio.denominator - ratio.numerator)
+
+
 def _short_runs(ratio: Fraction) -> Callable:
     """(a, b) of the pairs of short runs; the rows of long ones as (key, a, size)."""
 
@@ -150,10 +166,11 @@ def _short_runs(ratio: Fraction) -> Callable:
 def _across(ratio: Fraction, turn: int | None) -> Callable:
     """Pairs of different components of a run: with a leader of the largest one, or all without a turn."""
 
-    def of_run(node: np.ndarray, size: np.ndarray, part: np.ndarray) -> Iterator[np.ndarray]:
+    def of_run(node: np.ndarray, size: np.ndarray, part: np.ndarray, sketches: np.ndarray) -> Iterator[np.ndarray]:
         names, part, count = np.unique(part, return_inverse=True, return_counts=True)
         if len(names) < 2:
             return
+        bits = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(node), -1)
         firsts = range(len(node))
         if turn is not None:
             largest = np.flatnonzero(part == count.argmax())
@@ -163,7 +180,8 @@ def _across(ratio: Fraction, turn: int | None) -> Callable:
             other = (part != part[i]) & _close_sizes(size, size[i], ratio)
             if turn is None:
                 other[:i] = False
-            x = node[other]
+            other = np.flatnonzero(other)
+            x = node[other[_close_sketches(bits[other], bits[i], size[other] + size[i], ratio)]]
             yield np.sort(np.stack([np.full(len(x), node[i]), x], axis=1), axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,10 +190,10 @@ def _across(ratio: Fraction, turn: int | None) -> Callable:
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         found, held = [], 0
-        for key, node, size, part in _runs(batches):
+        for key, node, size, part, sketches in _runs(batches):
             bounds = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]).tolist()
             for s, e in zip(bounds, bounds[1:], strict=False):
-                for pairs in of_run(node[s:e], size[s:e], part[s:e]):
+                for pairs in of_run(node[s:e], size[s:e], part[s:e], sketches[s:e]):
                     found.append(pairs)
                     held += len(pairs)
                     if held >= PAIRS:
@@ -217,7 +235,7 @@ def completed(nodes: DataFrame, texts: DataFrame, also: DataFrame, shingle: int,
     member = components(edges, scratch)
     if large.limit(1).count():
         for turn in [*range(LEADER_ROUNDS), None]:
-            named = large.join(member, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("part"))
+            named = large.join(nodes.select("node", "sketch"), "node").join(member, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("part"), "sketch")
             pairs = named.repartition("key").sortWithinPartitions("key").mapInArrow(_across(ratio, turn), "a long, b long")
             edges = scratch.save(member.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked(possible(pairs, "pairs"))), "edges")
             member = components(edges, scratch)
@@ -232,11 +250,11 @@ def fraction(similarity: float) -> Fraction:
 
 
 def classes(texts: DataFrame, shingle: int, ratio: Fraction, scratch: Scratch) -> DataFrame:
-    """(node, least, size, print, prefix) of each distinct set of shingles. ``texts``: id, h1, h2, text.
+    """(node, least, size, print, prefix, sketch) of each distinct set of shingles. ``texts``: id, h1, h2, text.
     least: the first of its rows by id and hashes."""
     common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts.select("text"), shingle))
     kind = texts.schema["id"].dataType.simpleString()
-    rows = texts.mapInArrow(_prefixes(shingle, ratio, common), f"id {kind}, h1 long, h2 long, d1 long, d2 long, print long, size long, prefix array<long>")
-    firsts = [F.first(c).alias(c) for c in ("size", "print", "prefix")]
+    rows = texts.mapInArrow(_prefixes(shingle, ratio, common), f"id {kind}, h1 long, h2 long, d1 long, d2 long, print long, size long, prefix array<long>, sketch binary")
+    firsts = [F.first(c).alias(c) for c in ("size", "print", "prefix", "sketch")]
     nodes = rows.groupBy("d1", "d2").agg(F.min(F.struct("id", "h1", "h2")).alias("least"), *firsts)
-    return scratch.save(nodes.select(F.monotonically_increasing_id().alias("node"), "least", "size", "print", "prefix"), "nodes")
+    return scratch.save(nodes.select(F.monotonically_increasing_id().alias("node"), "least", "size", "print", "prefix", "sketch"), "nodes")

@@ -70,3 +70,24 @@ def test_rows_without_or_with_equal_ids_stay(make_docs):
     rows = [(None, words(f"n{k}"), "s") for k in range(5)] + [(7, words("x"), "s"), (7, words("y"), "s"), (3, words("y"), "s"), (7, words("x"), "s")]
     kept = [(r.doc_id, r.text) for r in simhash.one_of_each(make_docs(rows)).collect()]
     assert sorted(kept, key=str) == sorted([*((None, words(f"n{k}")) for k in range(5)), (7, words("x")), (3, words("y"))], key=str)
+
+
+def test_common_buckets_give_rows_for_similar_sets_only():
+    """Unrelated sets that share one shingle are no pairs; those that are similar all are."""
+    import numpy as np
+    import pyarrow as pa
+
+    ratio, rng = jaccard.fraction(0.8), np.random.default_rng(5)
+    sets = [np.unique(rng.integers(1, 1 << 62, 200).astype(np.uint64)) for _ in range(300)]
+    for i in range(0, 40, 2):
+        sets[i + 1] = np.unique(np.concatenate([sets[i][: len(sets[i]) - 20], rng.integers(1, 1 << 62, 20).astype(np.uint64)]))
+    n = len(sets)
+    columns = [pa.array([7] * n), pa.array(range(n)), pa.array([len(x) for x in sets]), pa.array(range(n)), pa.array([jaccard.sketch(x) for x in sets], pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, names=["key", "node", "size", "part", "sketch"])
+    found = {(a, b) for out in jaccard._across(ratio, None)(iter([batch])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)}
+    assert found >= {(i, i + 1) for i in range(0, 40, 2)}
+    assert len(found) < 40
+    for a in range(0, n, 7):  # sketches never differ in more places than sets in shingles
+        for b in range(n):
+            x, y = (np.frombuffer(jaccard.sketch(sets[k]), np.uint64) for k in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(sets[a], sets[b]))
