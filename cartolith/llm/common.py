@@ -161,7 +161,7 @@ _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the edges of a partition by stars: each node with the smallest node it reaches."""
+    """Replaces the edges of a partition by stars: each node, once, with the smallest node it reaches."""
     a, b = np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in batches:
         a, b = np.append(a, batch.column(0).to_numpy()), np.append(b, batch.column(1).to_numpy())
@@ -175,34 +175,28 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node that has a link; component: smallest node reachable.
 
-    ``edges``: two long columns a, b. Alternating large-star and small-star rounds over a table, each
-    preceded by a union-find within partitions, until nothing changes. Nothing is gathered on the
-    driver but a count and a checksum a round.
+    ``edges``: two long columns a, b. Rounds over a table, until it holds stars alone: each edge moves to the
+    smallest neighbour of its smaller end, then the edges of a larger end meet; after either, partitions are
+    contracted by union-find. That keeps what is connected and lowers the sum of all ends, unless all are
+    stars. Nothing is gathered on the driver but a count a round.
     """
 
     def contracted(e: DataFrame) -> DataFrame:
         return e.mapInArrow(_contract, "a long, b long")
 
-    def signature(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def settled(e: DataFrame) -> bool:
+        """Whether each larger end has one edge and is no smaller end."""
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("node").agg((F.sum("up") + F.max("down")).alias("n"))
+        return not ends.where("n > 1").agg(F.count(F.lit(1))).first()[0]
 
     now = scratch.save(contracted(edges.toDF("a", "b").where("a <> b")), "links")
-    seen = signature(now)
-    while seen[0]:
-        # a node with smaller neighbours hands its larger ones to the smallest of these; others keep them
+    while not settled(now):
         least = now.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
-        large = now.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
-        large = contracted(large.distinct())
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(small, "a")
-        after = joined.select("a", F.col("m").alias("b")).unionByName(
-            joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        )
-        after = scratch.save(after.distinct(), "links")
+        moved = contracted(now.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")))
+        after = scratch.save(contracted(moved.repartition("a")), "links")
         scratch.drop(now)
-        now, last, seen = after, seen, signature(after)
-        if seen == last:
-            break
+        now = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

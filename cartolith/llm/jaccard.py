@@ -3,7 +3,7 @@
 Prefix filter: with the shingles of all sets in one order, two sets of similarity t share a shingle among
 the first n - ceil(t n) + 1 of each. The order is by hash, with the most common shingles last, so most
 buckets are small. Pairs of a bucket are first held against what the prefixes leave possible, then
-compared by whole sets. Equal sets are one node. Large buckets are first compared with leaders, so that
+compared by whole sets. Equal sets are one node. Large buckets are first compared with leaders, in one pass, so that
 groups of copies become one component, then all pairs of different components. There a pair becomes a row only
 if the parities of both sets' shingles in ``SKETCH`` places differ in no more places than similar sets may in
 shingles. No pair is lost.
@@ -27,8 +27,8 @@ SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 #: One document of so many is counted for the order; shingles of so many of these go last, and at most
 #: so many shingles. They decide the size of buckets, not what is found.
 SAMPLE, COMMON_DOCS, COMMON = 8, 3, 1 << 19
-#: Buckets up to this size give all their pairs at once; larger ones after so many rounds of leaders.
-SHORT_RUN, LEADER_ROUNDS = 32, 3
+#: Buckets up to this size give all their pairs at once; larger ones after a pass of leaders.
+SHORT_RUN = 32
 #: Places of a set's sketch, a multiple of 64: sets of up to about 2.3 times as many shingles are told apart by it.
 SKETCH = 1024
 #: Pairs of an output batch, about.
@@ -163,31 +163,39 @@ def _short_runs(ratio: Fraction) -> Callable:
     return run
 
 
-def _across(ratio: Fraction, turn: int | None) -> Callable:
-    """Pairs of different components of a run: with a leader of the largest one, or all without a turn."""
+def _across(ratio: Fraction, leaders: bool) -> Callable:
+    """(a, b, ca, cb) of the pairs of different components ca and cb of a run: all, or those with leaders.
+
+    Components that no leader took give leaders, the largest first; each takes the components that hold rows
+    close to it. So a row is in one pair with a leader at most.
+    """
 
     def of_run(node: np.ndarray, size: np.ndarray, part: np.ndarray, sketches: np.ndarray) -> Iterator[np.ndarray]:
-        names, part, count = np.unique(part, return_inverse=True, return_counts=True)
+        names, first, at, count = np.unique(part, return_index=True, return_inverse=True, return_counts=True)
         if len(names) < 2:
             return
-        bits = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(node), -1)
-        firsts = range(len(node))
-        if turn is not None:
-            largest = np.flatnonzero(part == count.argmax())
-            mixed = (node[largest].astype(np.uint64) + np.uint64(turn + 1)) * np.uint64(0x9E3779B97F4A7C15)
-            firsts = [int(largest[mixed.argmin()])]
-        for i in firsts:
-            other = (part != part[i]) & _close_sizes(size, size[i], ratio)
-            if turn is None:
+        bits, taken = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(node), -1), np.zeros(len(names), bool)
+        for i in first[np.argsort(-count, kind="stable")].tolist() if leaders else range(len(node)):
+            if taken[at[i]]:
+                continue
+            other = (at != at[i]) & _close_sizes(size, size[i], ratio)
+            if leaders:
+                taken[at[i]] = True
+                other &= ~taken[at]
+            else:
                 other[:i] = False
             other = np.flatnonzero(other)
-            x = node[other[_close_sketches(bits[other], bits[i], size[other] + size[i], ratio)]]
-            yield np.sort(np.stack([np.full(len(x), node[i]), x], axis=1), axis=1)
+            x = other[_close_sketches(bits[other], bits[i], size[other] + size[i], ratio)]
+            if leaders:
+                taken[at[x]] = True
+            up = node[x] > node[i]
+            ends = [(np.full(len(x), y[i]), y[x]) for y in (node, part)]
+            yield np.stack([z for a, b in ends for z in (np.where(up, a, b), np.where(up, b, a))], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(found: list[np.ndarray]) -> pa.RecordBatch:
-            pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            pairs = np.unique(np.concatenate([np.empty((0, 4), np.int64), *found]), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in pairs.T.copy()], names=["a", "b", "ca", "cb"])
 
         found, held = [], 0
         for key, node, size, part, sketches in _runs(batches):
@@ -205,8 +213,8 @@ def _across(ratio: Fraction, turn: int | None) -> Callable:
 
 
 def completed(nodes: DataFrame, texts: DataFrame, also: DataFrame, shingle: int, ratio: Fraction, scratch: Scratch) -> DataFrame:
-    """(node, component) of the nodes that have a link. ``texts``: h1, h2, text. ``also``: (a, b), a < b, of
-    more pairs to verify; those that connect large groups save rounds."""
+    """(node, component) of the nodes that have a link, and maybe of others. ``texts``: h1, h2, text. ``also``:
+    (a, b), a < b, of more pairs to verify; those that connect large groups save pairs."""
     keys = nodes.select(F.explode("prefix").alias("key"), "node", "size").repartition("key").sortWithinPartitions("key")
     found = scratch.save(keys.mapInArrow(_short_runs(ratio), "key long, a long, b long, size long"), "buckets")
     large = found.where("key IS NOT NULL").select("key", F.col("a").alias("node"), "size")
@@ -218,7 +226,7 @@ def completed(nodes: DataFrame, texts: DataFrame, also: DataFrame, shingle: int,
         both = pairs.distinct().join(one, "a").join(two, "b")
         need = F.expr(f"({num} * (na + nb) + {num + den - 1}) div {num + den}")
         rest = F.greatest(F.col("na") - F.size("pa"), F.col("nb") - F.size("pb"))
-        return scratch.save(both.where(F.size(F.array_intersect("pa", "pb")) + rest >= need).select("a", "b"), name)
+        return scratch.save(both.where(F.size(F.array_intersect("pa", "pb")) + rest >= need).select(*pairs.columns), name)
 
     first = possible(found.where("key IS NULL").select("a", "b").unionByName(also), "pairs")
     wanted = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).unionByName(large.select("node")).distinct()
@@ -229,17 +237,22 @@ def completed(nodes: DataFrame, texts: DataFrame, also: DataFrame, shingle: int,
     def linked(pairs: DataFrame) -> DataFrame:
         one, two = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
         both = pairs.join(one, "a").join(two, "b").withColumn("k", F.size(F.array_intersect("sa", "sb")))
-        return both.where(F.expr(f"{den} * k >= {num} * (size(sa) + size(sb) - k)")).select("a", "b")
+        return both.where(F.expr(f"{den} * k >= {num} * (size(sa) + size(sb) - k)")).select(*pairs.columns)
 
     edges = scratch.save(linked(first), "edges")
     member = components(edges, scratch)
-    if large.limit(1).count():
-        for turn in [*range(LEADER_ROUNDS), None]:
-            named = large.join(nodes.select("node", "sketch"), "node").join(member, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("part"), "sketch")
-            pairs = named.repartition("key").sortWithinPartitions("key").mapInArrow(_across(ratio, turn), "a long, b long")
-            edges = scratch.save(member.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked(possible(pairs, "pairs"))), "edges")
-            member = components(edges, scratch)
-    return member
+    if not large.limit(1).count():
+        return member
+    parts = nodes.select("node", "sketch").join(member, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "sketch")
+    parts = scratch.save(parts, "parts")
+    for leaders in (True, False):
+        named = large.join(parts, "node").select("key", "node", "size", "part", "sketch")
+        pairs = named.repartition("key").sortWithinPartitions("key").mapInArrow(_across(ratio, leaders), "a long, b long, ca long, cb long")
+        edges = scratch.save(linked(possible(pairs, "pairs")), "edges")
+        if edges.limit(1).count():  # components are linked; their rows follow
+            moved = components(edges.select("ca", "cb"), scratch).toDF("part", "to")
+            parts = scratch.save(parts.join(moved, "part", "left").select("node", F.coalesce("to", "part").alias("part"), "sketch"), "parts")
+    return parts.select("node", F.col("part").alias("component"))
 
 
 def fraction(similarity: float) -> Fraction:

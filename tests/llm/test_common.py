@@ -1,4 +1,6 @@
-from cartolith.llm.common import BATCH_BYTES, BATCH_ROWS, Scratch, ascii_words, bounded_batches, shared_dir, words_of
+import random
+
+from cartolith.llm.common import BATCH_BYTES, BATCH_ROWS, Scratch, UnionFind, ascii_words, bounded_batches, components, shared_dir, words_of
 from pyspark.sql import functions as F
 
 ROWS, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -27,3 +29,25 @@ def test_words(spark):
     text = "\tOne two\x0b\x0cthree\r\n four\xa0five İX "
     assert spark.createDataFrame([(text,)], "t string").select(words_of(F.col("t"))).first()[0] == ["One", "two", "three", "four\xa0five", "İX"]
     assert ascii_words(text) == ["one".encode(), b"two", b"three", "four\xa0five".encode(), "İx".encode()] and ascii_words(None) == []
+
+
+def test_components_of_paths_stars_and_random_edges(spark):
+    rng = random.Random(3)
+    path = list(range(1000, 1400))
+    rng.shuffle(path)
+    edges = [*zip(path, path[1:], strict=False), *((5000 + k, 5300) for k in range(600)), (7, 7), *((rng.randrange(6000, 6400), rng.randrange(6000, 6400)) for _ in range(300))]
+    forest = UnionFind()
+    for a, b in edges:
+        forest.union(a, b)
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    scratch = Scratch(spark)
+    rows = components(spark.createDataFrame(edges, "a long, b long").repartition(7), scratch).collect()
+    assert sorted((r.node, r.component) for r in rows) == sorted((x, forest.find(x)) for x in linked)
+    assert components(spark.createDataFrame([], "a long, b long"), scratch).count() == 0
+
+
+def test_stars_take_no_round(spark):
+    """What is settled isn't gone through again: one table is written."""
+    scratch = Scratch(spark)
+    edges = spark.createDataFrame([(k, k % 10) for k in range(10, 400)], "a long, b long").repartition(7, "a")
+    assert components(edges, scratch).count() == 400 and scratch.made == 1

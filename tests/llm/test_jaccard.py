@@ -91,3 +91,13 @@ def test_common_buckets_give_rows_for_similar_sets_only():
         for b in range(n):
             x, y = (np.frombuffer(jaccard.sketch(sets[k]), np.uint64) for k in (a, b))
             assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(sets[a], sets[b]))
+
+
+def test_large_buckets_take_one_pass_of_leaders(spark, make_docs, monkeypatch):
+    """Each pass over large buckets is many jobs; plans, tasks and broadcasts of all add up in the driver."""
+    from cartolith.llm.common import Scratch
+
+    monkeypatch.setattr(jaccard, "SHORT_RUN", 2)
+    docs, scratch = make_docs(near_copies(120)), Scratch(spark)
+    assert ids_of(simhash.one_of_each(docs, scratch=scratch)) == kept_by_hand([(r.doc_id, r.text) for r in docs.collect()])
+    assert scratch.made < 16
