@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from ..types import COORD_DDL, DUMP_DDL, GEOM_DDL
+from ..types import COORD_DDL, DUMP_DDL, GEOM_DDL, PAIR_DDL
 
 G = GEOM_DDL
 _BOUNDS = "STRUCT<x0: DOUBLE, y0: DOUBLE, x1: DOUBLE, y1: DOUBLE>"
@@ -149,6 +149,11 @@ def _predicate(name: str, apart: str, point_b: str, point_a: str, doc: str) -> S
     return SqlFunction(f"st_{name}", f"a {G}, b {G}", "BOOLEAN", body, doc, group="geo")
 
 
+# Python gets pairs of geometries in one column, and an empty pair where it has nothing to do: with each row the JVM measures
+# all arrays of a batch anew, and goes over all null lists at its end.
+_NO_PAIR = f"CAST(named_struct('a', 0Y, 'b', 0Y, 'n', 0, 'parts', array()) AS {PAIR_DDL})"
+_POINTS = "a.kind = 1 AND b.kind = 1"
+_PAIR = f"IF(a.parts IS NULL OR b.parts IS NULL OR {_POINTS}, {_NO_PAIR}, named_struct('a', a.kind, 'b', b.kind, 'n', size(a.parts), 'parts', concat(a.parts, b.parts)))"
 _POSITION = "concat('[', c.x, ',', c.y, IF(c.z IS NULL, '', concat(',', c.z)), ']')"
 _RING_JSON = f"concat('[', array_join(transform(r, c -> {_POSITION}), ','), ']')"
 
@@ -246,7 +251,7 @@ CATALOG: list[SqlFunction] = [
     SqlFunction("st_length", f"g {G}", "DOUBLE", f"aggregate(filter(g.parts, p -> p.kind = 2), 0D, (s, p) -> s + coalesce(aggregate({_pairs('get(p.rings, 0)', _SEGMENT)}, {_SUM}), 0D))",
         "Planar length of lines; 0 for points and polygons.", ("st_length2d",), "geo"),
     SqlFunction("st_distance", f"a {G}, b {G}", "DOUBLE",
-        "coalesce(IF(a.kind = 1 AND b.kind = 1, hypot(st_x(a) - st_x(b), st_y(a) - st_y(b)), NULL), _py_distance(IF(a.kind = 1 AND b.kind = 1, NULL, a), IF(a.kind = 1 AND b.kind = 1, NULL, b)))",
+        f"coalesce(IF({_POINTS}, hypot(st_x(a) - st_x(b), st_y(a) - st_y(b)), NULL), _py_distance({_PAIR}))",
         "Smallest planar distance; null for empty geometries.", group="geo"),
     # --- processing
     SqlFunction("_total", f"m ARRAY<{_MOMENTS}>", _MOMENTS,

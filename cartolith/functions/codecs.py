@@ -409,6 +409,14 @@ def _head(text: str) -> tuple[int, int, int]:
 
 
 def read_wkt(column: pa.Array) -> pa.StructArray:
+    """Texts that are repeated, constants above all, are read once."""
+    texts = column.dictionary_encode()
+    if len(texts.dictionary) * 2 <= len(column):
+        return _read_texts(texts.dictionary).take(texts.indices)
+    return _read_texts(column)
+
+
+def _read_texts(column: pa.Array) -> pa.StructArray:
     n = len(column)
     if not n:
         return encode([])

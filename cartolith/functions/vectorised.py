@@ -14,6 +14,7 @@ from ..kernels.relate import PREDICATES, Shape, relate
 from ..types import ARROW_GEOM, GEOM
 from . import codecs
 from .arrays import Column, decode, encode
+from .distances import distances
 
 _OUT = {"geom": (GEOM, ARROW_GEOM), "string": (T.StringType(), pa.string()), "double": (T.DoubleType(), pa.float64()), "boolean": (T.BooleanType(), pa.bool_()), "binary": (T.BinaryType(), pa.binary())}
 
@@ -93,10 +94,13 @@ def _relate_batch(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([m and m[0] for m in _matrices(a, b)], pa.string())
 
 
+def _distance_batch(pairs: pa.Array) -> pa.Array:
+    return distances(pairs)
+
+
 #: name -> (result, kernel, arguments)
 KERNELS: dict[str, tuple[str, Callable, int]] = {
     "_py_geomfromgeojson": ("geom", geojson.read, 1),
-    "_py_distance": ("double", shapes.distance, 2),
     "_py_convexhull": ("geom", shapes.convex_hull, 1),
     "_py_concavehull": ("geom", shapes.concave_hull, 2),
     "_py_orientedenvelope": ("geom", shapes.oriented_envelope, 1),
@@ -124,6 +128,7 @@ def _columns(kind: str, codec: Callable[[pa.Array], pa.Array]):
 
 
 UDFS = {name: _function(*spec) for name, spec in KERNELS.items()} | {name: _columns(*spec) for name, spec in CODECS.items()}
+UDFS["_py_distance"] = F.arrow_udf(_distance_batch, T.DoubleType())
 UDFS["_py_predicate"] = F.arrow_udf(_predicate_batch, T.BooleanType())
 UDFS["_py_relate"] = F.arrow_udf(_relate_batch, T.StringType())
 

@@ -20,6 +20,8 @@ MEMBER = {MULTIPOINT: POINT, MULTILINESTRING: LINESTRING, MULTIPOLYGON: POLYGON}
 COORD_DDL = "STRUCT<x: DOUBLE, y: DOUBLE, z: DOUBLE, m: DOUBLE>"
 PART_DDL = f"STRUCT<kind: TINYINT, path: ARRAY<INT>, rings: ARRAY<ARRAY<{COORD_DDL}>>>"
 GEOM_DDL = f"STRUCT<kind: TINYINT, dim: TINYINT, srid: INT, parts: ARRAY<{PART_DDL}>>"
+#: Two geometries: their kinds, and the parts of both, of which n are the first one's.
+PAIR_DDL = f"STRUCT<a: TINYINT, b: TINYINT, n: INT, parts: ARRAY<{PART_DDL}>>"
 DUMP_DDL = f"ARRAY<STRUCT<path: ARRAY<INT>, geom: {GEOM_DDL}>>"
 
 COORD = T.StructType([T.StructField(n, T.DoubleType()) for n in "xyzm"])
