@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from ..kernels import shapes
-from ..kernels.nearest import apart, between, meet, meeting, turn
+from ..kernels.nearest import across, apart, between, meet, meeting, turn
 from ..types import ARROW_GEOM, BOX, POLYGON
 from .arrays import Column, offsets
 
@@ -107,7 +107,12 @@ def _together(g: _Segments, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     m, n = g.counts[rows], g.counts[rows + 1]
     of, i, j = _product(m, n)
     i, j = i + g.starts[rows[of]], j + g.starts[rows[of] + 1]
-    touching = np.flatnonzero(apart(g.boxes[i], g.boxes[j]) == 0)
+    low = apart(g.boxes[i], g.boxes[j])
+    if len(of) > 4 * len(rows):  # pairs that can't be the nearest of their row are left out
+        limit = np.minimum.reduceat(across(g.boxes[i], g.boxes[j]), _starts(m * n)[:-1]) * (1 + 1e-9)
+        close = np.flatnonzero(~(low > limit[of]))
+        of, i, j, low = of[close], i[close], j[close], low[close]
+    touching = np.flatnonzero(low == 0)
     zero = np.zeros(len(rows), bool)
     s, t = g.ends[i[touching]], g.ends[j[touching]]
     met, maybe = meeting(s, t)
@@ -118,7 +123,7 @@ def _together(g: _Segments, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             zero[row] = meet(s[k], t[k])
     s, t = g.ends[i], g.ends[j]
     d = between(s, t)
-    least = np.flatnonzero(d == np.minimum.reduceat(d, _starts(m * n)[:-1])[of])
+    least = np.flatnonzero(d == np.minimum.reduceat(d, np.searchsorted(of, np.arange(len(rows))))[of])
     least = least[np.append(True, of[least][1:] != of[least][:-1])]
     s, t = s[least], t[least]
     out = np.minimum(np.minimum(_length(s[:, :2], t), _length(s[:, 2:], t)), np.minimum(_length(t[:, :2], s), _length(t[:, 2:], s)))
